@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, simhash
+from . import decontaminate, langid, lines, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def _fold(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
@@ -31,12 +35,16 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.leaks(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def train_language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(_fold(5) != 0))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.train(docs.where(_fold(5) != 0))
-    return langid.identify(docs.select("doc_id", (_fold(5) == 0).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out")
+    return langid.identify(docs.select("doc_id", held_out, "text"), train_language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash_near_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_simhash_near_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_language_id)}
 
 ORACLE: dict[str, str] = {}
