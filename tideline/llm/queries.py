@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, simhash, suffix
+from . import decontaminate, langid, lines, packing, quality, simhash, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,13 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    known = docs.where(_fold(3) != 1).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
+    return quality.score(docs.select("doc_id", held_out, "text"), quality.train(known)).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
@@ -49,6 +56,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out, "text"), train_language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_array_dedup, op4_simhash_near_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_array_dedup, op3_quality_classifier, op4_simhash_near_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_language_id)}
 
 ORACLE: dict[str, str] = {}
