@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lines, packing, quality, simhash, suffix
+from . import decontaminate, langid, lines, packing, quality, quotes, simhash, suffix, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,18 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.pmod("id", F.lit(50)) == 0)
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(_table(spark, sf_dir, "conversations"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.remove_boilerplate(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -56,6 +68,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out, "text"), train_language_model(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_array_dedup, op3_quality_classifier, op4_simhash_near_dedup, op8_line_dedup, op9_benchmark_decontamination, op10_language_id)}
-
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_array_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_url_filters, op6_exact_topk, op7_chat_formatting, op8_line_dedup, op9_benchmark_decontamination, op10_language_id)}
+
+ORACLE: dict[str, str] = {
+    "op6_exact_topk": """
+        with v as (select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
+                   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+              from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+        select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+        from s qualify rank <= 5""",
+    "op8_line_dedup": r"""
+        with l as (select doc_id, coalesce(source, '') as site, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos,
+                          unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
+        b as (select line, min(doc_id) as first_id from l where trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''
+              group by line having count(distinct site) >= 6),
+        k as (select l.*, b.line is not null and l.doc_id <> b.first_id as gone from l left join b using (line))
+        select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_removed,
+               sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+        from k group by doc_id""",
+}
