@@ -1,4 +1,6 @@
 """All registered queries of the engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import decoding, routing, snapshots, state, system  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
