@@ -355,7 +355,8 @@ def test_urls(spark):
 def test_url_templates(spark):
     """A template full of blocked pages is rejected beyond them, and a clean one is not."""
     rules = (urls.Rule("block", "h.com", "/spam/a"), urls.Rule("allow", "h.com", "/docs/a"))
-    rows = [f"http://h.com/spam/a{chr(97 + i % 26)}{i}/1" for i in range(60)] + [f"http://h.com/docs/a{chr(97 + i % 26)}{i}/1" for i in range(60)] + ["http://h.com/spam/zz/1", "http://h.com/docs/zz/1", "http://h.com/new/zz/1"]
+    names = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(60)]
+    rows = [f"http://h.com/spam/a{n}/1" for n in names] + [f"http://h.com/docs/a{n}/1" for n in names] + ["http://h.com/spam/zz/1", "http://h.com/docs/zz/1", "http://h.com/new/zz/1"]
     df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
     got = {r.page_id: r for r in urls.judge(df, rules).collect()}
     assert [got[i].verdict for i in (120, 121, 122)] == ["block", "allow", "allow"] and got[120].rule is None
