@@ -1,83 +1,17 @@
-"""A stream that replays a change log kept as Parquet, with admission control and stable seq."""
+"""A stream that replays a change log kept as Parquet files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
 
 from ..model import SCHEMA
 
 
-class _Range(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
-
-
-class _Reader(DataSourceStreamReader):
-    """Offsets are seq numbers, so a replay gives an event the number it had."""
-
-    def __init__(self, options: dict):
-        self.path, self.start = options["path"], int(options.get("start", 0))
-        self.step, self.parts = int(options.get("maxEventsPerTrigger", 1000)), int(options.get("partitions", 4))
-        self.at = self.start
-
-    def _dataset(self):
-        import pyarrow.dataset as ds
-
-        return ds.dataset(self.path, format="parquet")
-
-    def _last(self) -> int:
-        import pyarrow.compute as pc
-
-        column = self._dataset().to_table(columns=["seq"])["seq"]
-        return pc.max(column).as_py() or 0
-
-    def initialOffset(self) -> dict:  # noqa: N802
-        return {"seq": self.start}
-
-    def latestOffset(self) -> dict:  # noqa: N802
-        self.at = min(self._last(), self.at + self.step)
-        return {"seq": self.at}
-
-    def partitions(self, start: dict, end: dict) -> list[_Range]:
-        first, last = start["seq"], end["seq"]
-        self.at = max(self.at, last)
-        size = max(1, -(-(last - first) // self.parts))
-        return [_Range(a, min(a + size, last)) for a in range(first, last, size)] or [_Range(last, last)]
-
-    def read(self, part: _Range) -> Iterator:
-        import pyarrow.dataset as ds
-
-        f = (ds.field("seq") > part.first) & (ds.field("seq") <= part.last)
-        for b in self._dataset().to_batches(filter=f, columns=SCHEMA.fieldNames()):
-            yield from (tuple(dict(v) if isinstance(v, list) else v for v in r.values()) for r in b.to_pylist())
-
-    def commit(self, end: dict) -> None:
-        pass
-
-
-class ReplaySource(DataSource):
-    """Format 'tideline_replay': options path (a folder all executors see), start, maxEventsPerTrigger, partitions."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tideline_replay"
-
-    def schema(self) -> StructType:
-        return SCHEMA
-
-    def streamReader(self, schema: StructType) -> _Reader:  # noqa: N802
-        return _Reader(dict(self.options))
-
-
-def replay_stream(spark: SparkSession, path: str, start: int = 0, max_events: int = 1000) -> DataFrame:
-    spark.dataSource.register(ReplaySource)
-    return spark.readStream.format("tideline_replay").option("path", path).option("start", start).option("maxEventsPerTrigger", max_events).load()
-
+def replay_stream(spark: SparkSession, path: str, start: int = 0, max_files: int = 16) -> DataFrame:
+    """Events after seq `start`, at most max_files files a batch; files must come in the order of the log.
 
-def file_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
-    """The same from a folder of Parquet files that grows, through Spark's own source: for large logs."""
-    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path)
+    seq is that of the log, so a replay gives an event the number it had. Files reach the
+    stream through Spark's own source: any store it reads will do, and the filter goes down to the files.
+    """
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).parquet(path).where(F.col("seq") > start)
