@@ -70,7 +70,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_suffix_array_dedup, op3_quality_classifier, op4_simhash_near_dedup, op5_url_filters, op6_exact_topk, op7_chat_formatting, op8_line_dedup, op9_benchmark_decontamination, op10_language_id)}
 
+def _template_sql() -> str:
+    """op9 in SQL: tokens and templates as lists, windows by unnest, slots by position."""
+    spaced = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(\p{N})(\p{L})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')"
+    raw = f"list_filter(string_split({spaced}, ' '), lambda x: x <> '')"
+    units = ", ".join(f"'{u}'" for u in decontaminate.UNITS)
+    can = rf"""list_transform(raw, lambda x, i: case when regexp_full_match(x, '\p{{N}}+') then '#n' when regexp_full_match(x, '\p{{Lu}}\p{{Ll}}+') then '#p'
+      when i > 1 and regexp_full_match(raw[i - 1], '\p{{N}}+') and list_contains([{units}], lower(x)) then '#u' else lower(x) end)"""
+    return f"""
+        with i0 as (select distinct item_id, {raw} as raw from benchmark where item_id is not null), i1 as (select item_id, raw, {can} as can, least(len(raw), 12) as w from i0 where len(raw) > 0),
+        d0 as (select distinct doc_id, {raw} as raw from documents), d1 as (select doc_id, raw, {can} as can from d0 where len(raw) > 0),
+        i2 as (select item_id, w, ipos, can[ipos:ipos + w - 1] as part, raw[ipos:ipos + w - 1] as iraw from (select *, unnest(generate_series(1, len(raw) - w + 1)) as ipos from i1)),
+        i3 as (select *, array_to_string(part, ' ') as t from i2 where len(list_filter(part, lambda x: x[1] <> '#')) >= w * 0.5),
+        d2 as (select doc_id, w, pos, array_to_string(can[pos:pos + w - 1], ' ') as t, raw[pos:pos + w - 1] as draw
+               from (select *, unnest(generate_series(1, len(raw) - w + 1)) as pos from d1 cross join (select distinct w from i3))),
+        m as (select doc_id, item_id, pos - ipos as diag, ipos, unnest(generate_series(0, i3.w)) as j, part, iraw, draw from d2 join i3 using (t)),
+        s as (select doc_id, item_id, diag, ipos, case when part[j][1] = '#' then part[j] end as p, iraw[j] as a, draw[j] as b from m),
+        g as (select doc_id, item_id, diag, count(distinct ipos) as n, count(distinct (p, a, b)) filter (p is not null) as slots, count(distinct (p, a)) filter (p is not null) as na,
+                count(distinct (p, b)) filter (p is not null) as nb, coalesce(bool_and(a = b) filter (p is not null), true) as same from s group by all)
+        select doc_id, item_id, max(n)::bigint as n_windows, arg_max(slots, n * 1000000 + slots)::bigint as n_slots, bool_or(same) as exact from g where slots = na and slots = nb group by all"""
+
+
 ORACLE: dict[str, str] = {
+    "op9_benchmark_decontamination": _template_sql(),
     "op6_exact_topk": """
         with v as (select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
                    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
