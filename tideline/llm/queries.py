@@ -100,6 +100,23 @@ ORACLE: dict[str, str] = {
               from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
         select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
         from s qualify rank <= 5""",
+    "op7_chat_formatting": r"""
+        with m as (select row_number() over () as k, conv_id, turn, role, text, string_split_regex(coalesce(text, ''), '\r?\n') as parts from conversations),
+        u as (select k, conv_id, turn, unnest(generate_series(1, len(parts))) as ln, parts from m),
+        l as (select k, conv_id, turn, ln, length(regexp_replace(regexp_extract(parts[ln], '^(?:[ \t]{0,3}[>|])*'), '[^>|]', '', 'g')) as level,
+                regexp_replace(parts[ln], '^(?:[ \t]{0,3}[>|])+[ \t]?', '') as words from u),
+        n as (select *, trim(regexp_replace(lower(words), '[^\p{L}\p{N}]+', ' ', 'g')) as norm, lead(level, 1, 0) over (partition by k order by ln) > 0 as introduces from l),
+        own as (select k, bool_or(level > 0) as quotes, regexp_replace(regexp_replace(coalesce(string_agg(words, chr(10) order by ln) filter (level = 0 and not (introduces and
+                regexp_matches(words, '(?i)^\s*(on\b.*\bwrote|.{1,80}\b(wrote|said|writes|schrieb|écrit|escribió))\s*:\s*$'))), ''), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') as left_ from n group by k),
+        o as (select norm, conv_id, min(turn) as src from n where level = 0 and length(norm) >= 12 group by norm, conv_id),
+        away as (select norm, arg_min(conv_id, conv_id) as c, arg_min(src, conv_id) as t from o group by norm),
+        q as (select n.k, n.ln, n.level, case when o.src < n.turn then n.conv_id when a.c <> n.conv_id then a.c end as c, case when o.src < n.turn then o.src when a.c <> n.conv_id then a.t end as t
+              from n left join o on o.norm = n.norm and o.conv_id is not distinct from n.conv_id left join away a on a.norm = n.norm where n.level > 0 and length(n.norm) >= 12),
+        links as (select k, count(*) as n_quotes, count(t) as n_linked, max(level) as depth, arg_max(c, 1000000 - level * 1000 + ln) filter (t is not null) as c, arg_max(t, 1000000 - level * 1000 + ln) filter (t is not null) as t from q group by k),
+        r as (select m.*, row_number() over (partition by conv_id order by turn) - 1 as position, lag(turn) over (partition by conv_id order by turn) as last_turn from m)
+        select r.conv_id, r.turn, r.role, case when own.quotes then own.left_ else r.text end as text, r.position, case when links.t is not null then links.c when last_turn is not null then r.conv_id end as reply_conv,
+          coalesce(links.t, last_turn) as reply_turn, coalesce(n_quotes, 0)::bigint as n_quotes, coalesce(n_linked, 0)::bigint as n_linked, coalesce(depth, 0)::int as depth
+        from r join own using (k) left join links using (k)""",
     "op8_line_dedup": r"""
         with l as (select doc_id, coalesce(source, '') as site, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos,
                           unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),

@@ -46,8 +46,8 @@ def link(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     more is looked up by its 128-bit hash among the own lines of all messages; the earliest
     earlier one of the same conversation is its original, else the first elsewhere. A message answers
     the original of its last least-nested linked quote, and without one the turn before.
-    position is the place in the conversation from 0, by turn and then role and text, so a
-    message never precedes what it answers in its conversation. depth is the
+    position is the place in the conversation from 0 by turn, with messages of one turn in a
+    fixed order of hashes, so a message never precedes what it answers in its conversation. depth is the
     deepest quote level. Null texts are null and empty ones empty, without quotes; null
     conversations form one, null turns come first; repeated rows get places in a row; an empty table gives no
     rows; other columns are ignored. Messages of a conversation never meet in one task.
