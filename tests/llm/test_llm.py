@@ -116,10 +116,11 @@ def repeated_docs(seed):
     return docs + [(24, docs[3][1]), (None, docs[4][1]), (25, "ab" * 300), (26, None), (27, ""), (9, docs[9][1]), (9, "other " + shared[0])]
 
 
-@pytest.mark.parametrize("seed, group, hot", [(0, 512, 10**9), (1, 2, 10**9), (2, 2, 1), (3, 512, 1)])
-def test_repeats(spark, monkeypatch, seed, group, hot):
-    """All ways through: shards by anchor, groups cut by longer anchors, and anchors dealt out by window."""
+@pytest.mark.parametrize("seed, group, hot, shard", [(0, 512, 10**9, 1 << 18), (1, 2, 10**9, 1 << 18), (2, 2, 1, 1 << 18), (3, 512, 1, 1 << 18), (4, 512, 10**9, 300), (5, 512, 10**9, 1000)])
+def test_repeats(spark, monkeypatch, seed, group, hot, shard):
+    """All ways through: anchors in one shard and over several, groups cut by longer anchors, and anchors dealt out by window."""
     monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "SHARD", shard)
     if hot == 1:
         monkeypatch.setattr(suffix, "SAMPLE", 1)
         monkeypatch.setattr(suffix, "HOT", 10**6)
@@ -286,7 +287,7 @@ def test_quality(spark):
     s, y = np.array([r.score for r in got]), np.array([r.quality for r in got])
     auc = np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]])
     assert auc > 0.9
-    none = quality.train(labels.join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").limit(0))
+    none = quality.train(spark.read.parquet(f"{SF}/documents.parquet"), labels.limit(0))
     rows = quality.score(table(spark, AWKWARD), none).collect()
     assert len(rows) == len(AWKWARD) and {r.score for r in rows} == {0.5} and quality.score(table(spark, []), none).count() == 0
 

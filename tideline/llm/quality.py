@@ -82,24 +82,27 @@ class Model:
         return (np.sum(w * self.labels[at], axis=1) + 1e-3 * self.prior) / (w.sum(axis=1) + 1e-3)
 
 
-def train(rows: DataFrame, per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on about per_label rows of each label 0 and 1, taken by a hash of the id; the latent space is their SVD.
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+    """Fit on about per_label documents of each label 0 and 1, taken by a hash of the id; the latent space is their SVD.
 
-    per_label bounds the model and what reaches the driver. Rows with a null text, an
-    empty one or another label teach nothing; the prior counts all labelled rows.
+    per_label bounds the model, what reaches the driver, and the ids that are broadcast to
+    find the texts; texts are not shuffled. Null, empty and missing texts and other labels
+    teach nothing; the prior counts all labelled rows.
     """
-    known = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
     share = F.when(F.col("y") == 1, min(1.0, per_label / max(counts.get(1, 0), 1))).otherwise(min(1.0, per_label / max(counts.get(0, 0), 1)))
     draw = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < share * float(1 << 30)
+    sample = known.where(draw).limit(8 * per_label)
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text") != "").join(F.broadcast(sample), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"y": b["y"], "x": [features(t).astype(np.float16).tobytes() for t in b["text"]]})
 
-    got = sorted((r["y"], bytes(r["x"])) for r in known.where(draw & (F.col("text") != "")).mapInPandas(run, "y int, x binary").collect())
+    got = sorted((r["y"], bytes(r["x"])) for r in drawn.mapInPandas(run, "y int, x binary").collect())
     if not got:
         return Model(np.zeros((DIMS, 1), np.float32), np.zeros(DIMS, np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
     y = np.array([r[0] for r in got], np.float64)

@@ -28,9 +28,9 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    known = docs.where(_fold(3) != 1).join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(_fold(3) != 1)
     held_out = F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out")
-    return quality.score(docs.select("doc_id", held_out, "text"), quality.train(known)).select("doc_id", "held_out", "score", "predicted")
+    return quality.score(docs.select("doc_id", held_out, "text"), quality.train(docs, labels)).select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
