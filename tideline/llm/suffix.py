@@ -4,7 +4,8 @@ Every window of `width` bytes has an anchor, the least-hashed `k`-byte string in
 (its minimizer). Equal windows have equal anchors, so a window whose anchor occurs once
 in the corpus is unique and needs no further look. Consecutive windows of one anchor are a
 run. Runs are merged by anchor: equal runs are settled by their hash, and different runs
-of one anchor get their bytes fetched and a suffix array per shard.
+of one anchor get their bytes fetched and a suffix array per shard; windows of an anchor that lies in several shards are
+merged by binary search.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, drop, saved
+from .common import NO_ID, release, saved
 
 #: Anchor lengths, each used on what the one before left in groups of over GROUP runs.
 ANCHORS = (40, 88, 100)
@@ -184,8 +185,8 @@ def common_prefixes(codes: np.ndarray, rest: np.ndarray, order: np.ndarray, step
     return common[order]
 
 
-def repeats_in_shard(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, place) of the windows of which an equal one has a smaller (id, start + place)."""
+def repeats_in_shard(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, place, first) of all windows in suffix order: first, the row of the equal window with the smallest (id, start + place)."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     codes = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(lens) - lens
@@ -198,11 +199,29 @@ def repeats_in_shard(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, wi
     order, group = (a[rest[order] >= width] for a in (order, group))
     p, at = piece[order], place[order]
     sort = np.lexsort((starts[p] + at, ids[p], group))
-    group, i, s = group[sort], ids[p][sort], (starts[p] + at)[sort]
-    head = _group_ends(group)
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-    late = ~((i == i[lead]) & (s == s[lead]))
-    return p[sort][late], at[sort][late]
+    head = _group_ends(group[sort])
+    return p[sort], at[sort], np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+
+
+class Merged:
+    """Distinct windows of one anchor over shards, sorted, each with the first place it was seen at."""
+
+    def __init__(self, windows: np.ndarray, rows: np.ndarray):
+        self.windows, self.rows = windows, rows
+
+    def add(self, windows: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Merge another shard's sorted windows (rows: id, tag, start) by binary search; rows that start later than an equal window."""
+        at = np.searchsorted(self.windows, windows)
+        hit = at < len(self.windows)
+        hit[hit] = self.windows[at[hit]] == windows[hit]
+        old, new = self.rows[at[hit]], rows[hit]
+        new_first = (new[:, 0] < old[:, 0]) | ((new[:, 0] == old[:, 0]) & (new[:, 2] < old[:, 2]))
+        differ = (new[:, 0] != old[:, 0]) | (new[:, 2] != old[:, 2])
+        late = np.where(new_first[:, None], old, new)[differ]
+        self.rows[at[hit]] = np.where(new_first[:, None], new, old)
+        self.windows = np.insert(self.windows, at[~hit], windows[~hit])
+        self.rows = np.insert(self.rows, at[~hit], rows[~hit], axis=0)
+        return late
 
 
 def _table(kind, key, content, ids, tag, start, n, texts=None) -> pa.RecordBatch:
@@ -354,17 +373,30 @@ def _merge(width: int) -> Callable:
         rows, key = rows[sort], key[sort]
         ids, tag, start, n = (t[c].to_numpy()[rows] for c in ("id", "tag", "start", "n"))
         texts = t["bytes"].take(pa.array(rows)).to_pylist()
-        ends = np.append(np.flatnonzero(_group_ends(key))[1:], len(key))
-        bytes_to = np.cumsum(n + width - 1)
-        begin = 0
-        for j, e in enumerate(ends.tolist()):
-            # A shard is as many whole anchors as fit; an anchor has at most GROUP runs.
-            if j + 1 < len(ends) and bytes_to[ends[j + 1] - 1] - (bytes_to[begin - 1] if begin else 0) <= SHARD:
-                continue
-            p, at = repeats_in_shard(texts[begin:e], ids[begin:e], start[begin:e], width)
+        size = np.cumsum(n + width - 1)
+        begin, open_ = 0, None  # open_: the anchor that goes on from the shard before
+        while begin < len(rows):
+            end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + SHARD, "right")))
+            p, at, first = repeats_in_shard(texts[begin:end], ids[begin:end], start[begin:end], width)
             p = p + begin
-            out.append((ids[p], tag[p], start[p] + at, start[p] + at + width))
-            begin = e
+            row = np.stack([ids[p], tag[p], start[p] + at], axis=1)
+            lead = row[first]
+            late = row[(row[:, 0] != lead[:, 0]) | (row[:, 2] != lead[:, 2])]
+            goes_on = end < len(rows) and key[end] == key[end - 1]
+            if open_ is not None or goes_on:
+                heads = np.flatnonzero(first == np.arange(len(first)))
+                window = np.array([texts[i][j : j + width] for i, j in zip(p[heads].tolist(), at[heads].tolist())], f"S{width}")
+                whose = key[p[heads]]
+                if open_ is not None:
+                    mine = whose == key[begin]
+                    late = np.concatenate([late, open_.add(window[mine], row[heads[mine]])])
+                if goes_on and (open_ is None or key[end - 1] != key[begin]):
+                    mine = whose == key[end - 1]
+                    open_ = Merged(window[mine], row[heads[mine]])
+                elif not goes_on:
+                    open_ = None
+            out.append((late[:, 0], late[:, 1], late[:, 2], late[:, 2] + width))
+            begin = end
         return out
 
     return run
@@ -428,6 +460,8 @@ def repeated_spans(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
         done = saved(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_merge(width), ROWS), "suffix-round")
         found.append(done.where(F.col("kind") == SPAN).select("id", "tag", "start", "n"))
         wants = done.where(F.col("kind") > SPAN)
+        del rows
+        release(docs.sparkSession)
         if not wants.limit(1).count():
             break
         asked = wants.groupBy("id", "tag").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("wants"))
