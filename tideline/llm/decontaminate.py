@@ -52,8 +52,8 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: floa
     widths = sorted(r[0] for r in wins.select("width").distinct().collect()) or [width]  # at most `width` values
     small = wins.count() <= BROADCAST_ROWS
 
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), _spaced(F.col(text_col)).alias("spaced")).where("spaced <> ''")
-    hashed = d.select("id", F.transform(_tokens(_canonical(F.col("spaced"))), lambda x: F.xxhash64(x)).alias("hs"), F.xxhash64("spaced").alias("th"))
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th")).where("text <> ''")
+    hashed = d.select("id", F.transform(_tokens(_canonical(_spaced(F.col("text")))), lambda x: F.xxhash64(x)).alias("hs"), "th")
     sides = []
     for w in widths:
         at = F.when(F.size("hs") >= w, F.sequence(F.lit(1), F.size("hs") - w + 1)).otherwise(F.array().cast("array<int>"))
@@ -66,8 +66,8 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: floa
     # Matched positions, per text; then their raw tokens are fetched from the few texts that match.
     spots = saved(found.groupBy("id", "th").agg(F.collect_set(F.struct(F.col("pos"), "h")).alias("spots")), "bench-spots")
     few = spots.count() <= BROADCAST_ROWS // 20
-    texts = d.withColumn("th", F.xxhash64("spaced")).join(F.broadcast(spots.select("id", "th")) if few else spots.select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
-    cut = texts.join(spots, ["id", "th"]).withColumn("raw", _tokens("spaced")).withColumn("s", F.explode("spots"))
+    texts = d.join(F.broadcast(spots.select("id", "th")) if few else spots.select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
+    cut = texts.join(spots, ["id", "th"]).withColumn("raw", _tokens(_spaced(F.col("text")))).withColumn("s", F.explode("spots"))
     one = wins.select(F.col("h").alias("wh"), "width").distinct()
     cut = cut.join(F.broadcast(one) if small else one, F.col("s.h") == F.col("wh")).select("id", "th", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), F.slice("raw", F.col("s.pos") + 1, F.col("width")).alias("draw"))
     pairs = cut.join(F.broadcast(wins) if small else wins, "h")
