@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import decontaminate, langid, lines, packing, simhash
+from tideline.llm import decontaminate, langid, lines, packing, similar
 from tideline.llm.common import NO_ID, saved
 from tideline.llm.queries import train_language_model
 
@@ -28,9 +28,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates (rows that repeat it: one)."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).distinct()
+    """Keep the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Pairs that similar differ in some 10 of 64 SimHash bits, too many for bands, so they are found by their shingles.
+    """
+    groups = similar.near_copies(docs.select("doc_id", "text"))
+    first = groups.groupBy("component").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_id")).select("_id").distinct()
     return docs.join(first, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.duck import connect, spark_rows, sql_rows
-from tideline.llm import decontaminate, graph, langid, lines, packing, quality, queries, quotes, simhash, suffix, topk, urls
+from tideline.llm import decontaminate, graph, langid, lines, packing, quality, queries, quotes, similar, simhash, suffix, topk, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, fp string, start string, rank string, kind string"
 
@@ -218,6 +218,66 @@ def test_long_chain(spark):
     assert {(r.node, r.root) for r in graph.components(edges).collect()} == {(i, 0) for i in range(201)} | {(500, 500)}
 
 
+def test_sketches_refuse_no_similar_pair():
+    rng = np.random.default_rng(4)
+    refused = 0
+    for n in (1, 5, 64, 65, 300, 2000, 9000):
+        for cut in (0.0, 0.1, 0.11, 0.2, 0.5, 1.0):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            b = np.concatenate([a[: n - int(cut * n)], rng.integers(0, 2**63, int(cut * n * rng.uniform(0, 2)), dtype=np.uint64)])
+            if len(b):
+                same = len(np.intersect1d(a, b))
+                ok = similar.may_match(similar.sketch(a), n, similar.sketch(b), len(b))
+                assert ok or 9 * same < 4 * (n + len(b))
+                refused += not ok
+    assert refused > 10
+
+
+def edited(words, rng, n):
+    out = list(words)
+    for i in rng.choice(len(out), n, replace=False).tolist():
+        out[i] = f"edit{i}"
+    return " ".join(out)
+
+
+def test_near_copies_against_brute_force(spark, monkeypatch):
+    """All pairs of similarity 0.8 or more meet, whatever the sample names as frequent."""
+    rng = np.random.default_rng(3)
+    common = [f"often{i}" for i in range(30)]
+    texts = [" ".join(common)]
+    for k in range(25):
+        base = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(3, 160)))] + (common if k % 2 else [])
+        texts += [" ".join(base)] + [edited(base, rng, min(len(base), n)) for n in (1, 2, 4)]
+    docs = list(enumerate(texts)) + [(500, texts[5].upper()), (501, None), (502, " "), (None, texts[9])]
+    sets = [frozenset(similar.shingles(similar.words_of(t)).tolist()) for _, t in docs]
+    want = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 9 * len(a & b) >= 4 * (len(a) + len(b)):
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    at = {t: w for (_, t), w in zip(docs, want)}
+    rows = table(spark, docs).select("doc_id", "text", F.xxhash64("text").alias("h1"))
+    for sample in (similar.SAMPLE, 0):
+        monkeypatch.setattr(similar, "SAMPLE", sample)
+        got = similar.near_copies(table(spark, docs)).join(rows, "h1").collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(bytes(r.component), set()).add(at[r.text])
+        assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
+    assert similar.near_copies(table(spark, [])).count() == 0
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    copy = edited(base, rng, 5)
+    assert (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(copy)).bit_count() > 3
+    docs = table(spark, [(1, " ".join(base)), (2, copy), (3, " ".join(base[::-1]))])
+    assert sorted(r.doc_id for r in p.simhash_near_dedup(spark, docs, SF).collect()) == [1, 3]
+
+
 # lines
 
 
