@@ -28,13 +28,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8 or more.
+    """Keep one row of each group of near copies (five-word shingles, similarity 0.8 or more): that of the smallest id, then text hash.
+
+    Null ids come last; unrelated rows that share an id, or have none, all stay.
 
     Pairs that similar differ in some 10 of 64 SimHash bits, too many for bands, so they are found by their shingles.
     """
     groups = similar.near_copies(docs.select("doc_id", "text"))
-    first = groups.groupBy("component").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("_id")).select("_id").distinct()
-    return docs.join(first, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    first = groups.groupBy("component").agg(F.min(row).alias("row")).select("row.*")
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(7), "text"))
+    kept = named.join(first.withColumnRenamed("id", "_id"), ["_id", "_h1", "_h2"], "left_semi")
+    return kept.dropDuplicates(["_id", "_h1", "_h2"]).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

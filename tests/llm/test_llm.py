@@ -278,6 +278,17 @@ def test_pipeline_drops_edited_copies(spark):
     assert sorted(r.doc_id for r in p.simhash_near_dedup(spark, docs, SF).collect()) == [1, 3]
 
 
+def test_pipeline_keeps_unrelated_rows_of_an_id(spark):
+    import corpus_pipeline as p
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 200").first().text
+    rows = [(None, f"a first text {i} " + " ".join(f"n{i}x{j}" for j in range(20))) for i in range(4)] + [(7, "one text under the id"), (7, "quite another one here"), (8, "one text under the id"), (None, "one TEXT under the id"), (None, None), (9, "")]
+    kept = [(r.doc_id, r.text) for r in p.simhash_near_dedup(spark, table(spark, rows), SF).collect()]
+    assert sorted(kept, key=repr) == sorted([*rows[:6], (9, "")], key=repr)
+    left = p.benchmark_decontamination(spark, table(spark, [(None, leak), (7, "x " + leak), *rows[:6]]), SF)
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=repr) == sorted(rows[:6], key=repr)
+
+
 # lines
 
 

@@ -30,18 +30,8 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda x: x != "")
 
 
-def leaks(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_windows, n_slots, exact): documents that hold a passage of a benchmark item, its slots filled alike or anew.
-
-    A passage is a window of `width` tokens (for shorter items: all their tokens) of which
-    the share min_literals at least is no placeholder. Windows are compared by template.
-    Matches of one alignment (document position less item position) must replace slots
-    consistently: a value of the item always by the same value, and different values of a
-    kind by different ones. n_windows is that of the best alignment that does; exact says
-    that every slot of one has the item's own value. Null and empty texts hold nothing;
-    null ids are kept as null; rows that repeat an id count as one document; an empty
-    table gives no rows; other columns are ignored.
-    """
+def _good(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, item_id, th, n, slots, same): alignments that leaks() accepts, th the hash of the text."""
     items = bench.select(F.col(item_col).alias("item_id"), _spaced(F.col(item_text)).alias("spaced")).where("item_id is not null and spaced <> ''").distinct()
     items = items.select("item_id", _tokens("spaced").alias("raw"), _tokens(_canonical(F.col("spaced"))).alias("can"))
     items = items.withColumn("width", F.least(F.size("can"), F.lit(width)))
@@ -76,13 +66,29 @@ def leaks(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: floa
     lines = pairs.groupBy("id", "item_id", "th", "diag").agg(F.countDistinct("ipos").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("map"))
     n_from = F.size(F.array_distinct(F.transform("map", lambda z: F.struct(z["part"], z["iraw"]))))
     n_to = F.size(F.array_distinct(F.transform("map", lambda z: F.struct(z["part"], z["draw"]))))
-    good = lines.where((n_from == F.size("map")) & (n_to == F.size("map"))).select("id", "item_id", "n", F.size("map").alias("slots"), F.forall("map", lambda z: z["iraw"] == z["draw"]).alias("same"))
+    return lines.where((n_from == F.size("map")) & (n_to == F.size("map"))).select("id", "item_id", "th", "n", F.size("map").alias("slots"), F.forall("map", lambda z: z["iraw"] == z["draw"]).alias("same"))
+
+
+def leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_slots, exact): documents that hold a passage of a benchmark item, its slots filled alike or anew.
+
+    A passage is a window of `width` tokens (for shorter items: all their tokens) of which
+    the share min_literals at least is no placeholder. Windows are compared by template.
+    Matches of one alignment (document position less item position) must replace slots
+    consistently: a value of the item always by the same value, and different values of a
+    kind by different ones. n_windows is that of the best alignment that does; exact says
+    that every slot of one has the item's own value. Null and empty texts hold nothing;
+    null ids are kept as null; rows that repeat an id count as one document; an empty
+    table gives no rows; other columns are ignored.
+    """
+    good = _good(docs, bench, **options)
     out = good.groupBy("id", "item_id").agg(F.max("n").cast("long").alias("n_windows"), F.max(F.struct("n", "slots"))["slots"].cast("long").alias("n_slots"), F.max("same").alias("exact"))
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "item_id", "n_windows", "n_slots", "exact")
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that leaks() finds; a null id is judged like any other id."""
-    bad = saved(leaks(docs, bench, id_col=id_col, **options).select(F.col("doc_id").alias("_bad")).distinct(), "bench-leaks")
+def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows whose text holds a passage; other rows of the same id, or without one, stay."""
+    found = _good(docs, bench, id_col=id_col, text_col=text_col, **options)
+    bad = saved(found.select(F.col("id").alias("_bad"), F.col("th").alias("_th")).distinct(), "bench-leaks")
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(side, F.col(id_col).cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(side, (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("_bad")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
