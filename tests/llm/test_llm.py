@@ -325,6 +325,16 @@ def test_templates(spark):
     assert decontaminate.leaks(table(spark, []), bench).count() == 0 and decontaminate.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_items_of_names_and_numbers(spark):
+    names = "Present were Anna Bell, Carl Dorn, Emma Falk, Gerd Hahn, Ida Jung, Karl Lenz and Mia Noll"
+    sums = "Compute 12 + 7 * 3 - 4"
+    bench = spark.createDataFrame([(1, names), (2, sums), (None, ITEM), (None, "an item without any id holds these plain words and a few more of them")], "item_id long, text string")
+    docs = [(1, f"So: {names}."), (2, f"Task: {sums}."), (3, names.replace("Anna", "Olga").replace("Gerd", "Paul")), (4, "Compute 12 + 7 * 3 - 5"), (5, ITEM), (None, f"x {sums} y")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(table(spark, docs), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (5, None), (None, 2)} and all(r.exact and r.n_windows > 0 for r in got.values())
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(table(spark, docs), bench).collect()) == [3, 4]
+
+
 def test_leaks_against_containment(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     planted = {(r.doc_id, r.item_id) for r in docs.alias("d").join(bench.alias("b"), F.contains("d.text", "b.text")).select("doc_id", "item_id").collect()}

@@ -31,14 +31,17 @@ def _tokens(text: Column) -> Column:
 
 
 def _good(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, th, n, slots, same): alignments that leaks() accepts, th the hash of the text."""
-    items = bench.select(F.col(item_col).alias("item_id"), _spaced(F.col(item_text)).alias("spaced")).where("item_id is not null and spaced <> ''").distinct()
-    items = items.select("item_id", _tokens("spaced").alias("raw"), _tokens(_canonical(F.col("spaced"))).alias("can"))
+    """(id, item_id, th, fits, n, slots, same): alignments that leaks() accepts, th the hash of the text."""
+    spaced = bench.select(F.col(item_col).alias("item_id"), _spaced(F.col(item_text)).alias("spaced")).where("spaced <> ''").distinct()
+    # Items without an id are told apart by their text.
+    items = spaced.select("item_id", F.when(F.col("item_id").isNull(), F.xxhash64("spaced")).alias("ih"), _tokens("spaced").alias("raw"), _tokens(_canonical(F.col("spaced"))).alias("can"))
     items = items.withColumn("width", F.least(F.size("can"), F.lit(width)))
     at = F.sequence(F.lit(1), F.size("can") - F.col("width") + 1)
-    literal = F.size(F.filter("part", lambda x: ~x.startswith("#"))) >= F.col("width") * min_literals
-    wins = items.withColumn("ipos", F.explode(at)).withColumn("part", F.slice("can", F.col("ipos"), F.col("width"))).where(literal)
-    wins = saved(wins.select("item_id", "ipos", "width", F.xxhash64("width", F.transform("part", lambda x: F.xxhash64(x))).alias("h"), "part", F.slice("raw", F.col("ipos"), F.col("width")).alias("iraw")), "bench-windows")
+    low = F.size(F.filter("part", lambda x: ~x.startswith("#"))) < F.col("width") * min_literals
+    wins = items.withColumn("ipos", F.explode(at)).withColumn("part", F.slice("can", F.col("ipos"), F.col("width"))).withColumn("low", low).withColumn("iraw", F.slice("raw", F.col("ipos"), F.col("width")))
+    # The second key of a window of mostly placeholders is its raw tokens; the others have none.
+    exact = lambda raw: F.when(F.col("low"), F.xxhash64(F.transform(raw, lambda x: F.xxhash64(x)))).otherwise(F.lit(0).cast("long"))
+    wins = saved(wins.select("item_id", "ih", "ipos", "width", "low", F.xxhash64("width", F.transform("part", lambda x: F.xxhash64(x))).alias("h"), exact(F.col("iraw")).alias("rh"), "part", "iraw"), "bench-windows")
     widths = sorted(r[0] for r in wins.select("width").distinct().collect()) or [width]  # at most `width` values
     small = wins.count() <= BROADCAST_ROWS
 
@@ -58,31 +61,40 @@ def _good(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: floa
     few = spots.count() <= BROADCAST_ROWS // 20
     texts = d.join(F.broadcast(spots.select("id", "th")) if few else spots.select("id", "th"), ["id", "th"], "left_semi").dropDuplicates(["id", "th"])
     cut = texts.join(spots, ["id", "th"]).withColumn("raw", _tokens(_spaced(F.col("text")))).withColumn("s", F.explode("spots"))
-    one = wins.select(F.col("h").alias("wh"), "width").distinct()
-    cut = cut.join(F.broadcast(one) if small else one, F.col("s.h") == F.col("wh")).select("id", "th", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), F.slice("raw", F.col("s.pos") + 1, F.col("width")).alias("draw"))
-    pairs = cut.join(F.broadcast(wins) if small else wins, "h")
+    one = wins.select(F.col("h").alias("wh"), "width", "low").distinct()
+    cut = cut.join(F.broadcast(one) if small else one, F.col("s.h") == F.col("wh")).select("id", "th", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), "low", F.slice("raw", F.col("s.pos") + 1, F.col("width")).alias("draw"))
+    cut = cut.withColumn("rh", exact(F.col("draw"))).drop("low")
+    pairs = cut.join(F.broadcast(wins) if small else wins, ["h", "rh"])
     slots = F.filter(F.arrays_zip("part", "iraw", "draw"), lambda z: z["part"].startswith("#"))
-    pairs = pairs.select("id", "item_id", "th", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", slots.alias("slots"))
-    lines = pairs.groupBy("id", "item_id", "th", "diag").agg(F.countDistinct("ipos").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("map"))
+    pairs = pairs.select("id", "item_id", "ih", "th", (F.col("pos") - F.col("ipos")).alias("diag"), "ipos", "low", slots.alias("slots"))
+    of = lambda kind: [F.countDistinct(F.when(kind, F.col("ipos"))), F.array_distinct(F.flatten(F.collect_set(F.when(kind, F.col("slots")))))]
+    (n, map_), (n_low, map_low) = of(~F.col("low")), of(F.col("low"))
+    lines = pairs.groupBy("id", "item_id", "ih", "th", "diag").agg(n.alias("n"), map_.alias("map"), n_low.alias("n_low"), map_low.alias("map_low"))
     n_from = F.size(F.array_distinct(F.transform("map", lambda z: F.struct(z["part"], z["iraw"]))))
     n_to = F.size(F.array_distinct(F.transform("map", lambda z: F.struct(z["part"], z["draw"]))))
-    return lines.where((n_from == F.size("map")) & (n_to == F.size("map"))).select("id", "item_id", "th", "n", F.size("map").alias("slots"), F.forall("map", lambda z: z["iraw"] == z["draw"]).alias("same"))
+    fits = lines.withColumn("fits", (F.col("n") > 0) & (n_from == F.size("map")) & (n_to == F.size("map"))).where("fits or n_low > 0")
+    same = F.forall("map", lambda z: z["iraw"] == z["draw"])
+    return fits.select("id", "item_id", "th", "fits", F.when(F.col("fits"), F.col("n")).otherwise(F.col("n_low")).alias("n"), F.size(F.when(F.col("fits"), F.col("map")).otherwise(F.col("map_low"))).alias("slots"), (~F.col("fits") | same).alias("same"))
 
 
 def leaks(docs: DataFrame, bench: DataFrame, **options) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, exact): documents that hold a passage of a benchmark item, its slots filled alike or anew.
 
-    A passage is a window of `width` tokens (for shorter items: all their tokens) of which
-    the share min_literals at least is no placeholder. Windows are compared by template.
+    A passage is a window of `width` tokens (for shorter items: all their tokens). Windows of
+    which the share min_literals at least is no placeholder are compared by template, the
+    others (names, numbers) by their own tokens, without freedom in the slots; these count
+    where no template window of the item does.
     Matches of one alignment (document position less item position) must replace slots
     consistently: a value of the item always by the same value, and different values of a
     kind by different ones. n_windows is that of the best alignment that does; exact says
     that every slot of one has the item's own value. Null and empty texts hold nothing;
-    null ids are kept as null; rows that repeat an id count as one document; an empty
+    null ids are kept as null, those of items too (one row for all); rows that repeat an id count as one document; an empty
     table gives no rows; other columns are ignored.
     """
     good = _good(docs, bench, **options)
-    out = good.groupBy("id", "item_id").agg(F.max("n").cast("long").alias("n_windows"), F.max(F.struct("n", "slots"))["slots"].cast("long").alias("n_slots"), F.max("same").alias("exact"))
+    best = F.max(F.struct("fits", "n", "slots"))
+    exact = F.coalesce(F.max(F.when(F.col("fits"), F.col("same"))), F.lit(True))
+    out = good.groupBy("id", "item_id").agg(best["n"].cast("long").alias("n_windows"), best["slots"].cast("long").alias("n_slots"), exact.alias("exact"))
     return out.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "item_id", "n_windows", "n_slots", "exact")
 
 
