@@ -267,6 +267,28 @@ def test_near_copies_against_brute_force(spark, monkeypatch):
     assert similar.near_copies(table(spark, [])).count() == 0
 
 
+def test_pipeline_drops_unknown_languages(spark):
+    import corpus_pipeline as p
+
+    unknown = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        "xkcd qwrt zzpq vbnm lkjh wqzx",
+    ]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = spark.createDataFrame([(10**9 + i, t, "xx", "s", len(t)) for i, t in enumerate(unknown)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    model = p.train_language_model(docs)
+    judged = langid.identify(extra, model).collect()
+    assert all(r.lang_pred != "und" for r in judged)
+    stage = langid.identify(docs.select(*extra.columns).unionByName(extra), model)
+    kept = {r.doc_id for r in stage.where((F.col("lang_pred") != "und") & (F.col("score") > p.MIN_LANGUAGE_SCORE)).collect()}
+    assert not any(10**9 + i in kept for i in range(len(unknown)))
+    known = docs.where(F.length("text") >= 100)
+    assert known.where(F.col("doc_id").isin(sorted(kept))).count() >= 0.99 * known.count()
+
+
 def test_pipeline_drops_edited_copies(spark):
     import corpus_pipeline as p
 
