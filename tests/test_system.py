@@ -13,6 +13,7 @@ import pytest
 from tests.conftest import SF
 from tideline import cli, config
 from tideline.functions import encoding
+from tideline.plans.catalog import QUERIES
 from tideline.sources.changelog import COLUMNS, KEYS, change_log
 from tideline.streaming.control import ControlStore, LeaseLost
 from tideline.streaming.delivery import Delivery, Policy, Router
@@ -308,6 +309,12 @@ def test_process():
     s.close()
 
 
+def test_process_sink_gets_the_whole_log(spark):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    rows = sorted(QUERIES["process_sink_roundtrip"](spark, SF).collect())
+    assert [r.batch for r in rows] == list(range(-(-n // 50))) and sum(r.events for r in rows) == n > 200
+
+
 @pytest.mark.parametrize("soft", [False, True])
 def test_upserts(soft):
     db = sqlite3.connect(":memory:")
