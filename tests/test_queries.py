@@ -42,3 +42,12 @@ def test_without_the_llm_parts(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'materialize_state' in q and not any(k.startswith('op1') for k in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_the_whole_log_is_replayed(spark, monkeypatch):
+    from tideline.plans import state
+
+    seen, fold = [], state.apply.apply_changes
+    monkeypatch.setattr(state.apply, "apply_changes", lambda log, *a, **k: seen.append(log) or fold(log, *a, **k))
+    QUERIES["replay_idempotent"](spark, SF)
+    assert {r["count"] for r in seen[0].groupBy("seq").count().collect()} == {2}

@@ -26,7 +26,7 @@ def materialize_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {LOG}, {ALL} select id, kind, value, props, last_seq from state")
 def replay_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir)
-    return apply.apply_changes(log.unionByName(log.where("seq % 3 = 0")), KEY, COLUMNS)
+    return apply.apply_changes(log.unionByName(log), KEY, COLUMNS)
 
 
 @query(f"""with {LOG}, {SOFT}
