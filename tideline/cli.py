@@ -29,6 +29,16 @@ def logger(level: str, fmt: str) -> None:
     root.handlers, root.level = [handler], LEVELS[level]
 
 
+def checkpoint_folder(spark, given: str) -> str:
+    """The folder given, else one in spark.checkpoint.dir, else (local master only) one here."""
+    shared = given or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return given or f"{shared.rstrip('/')}/streams"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("give --checkpoint or set spark.checkpoint.dir to a folder that all executors share")
+    return "tideline-checkpoints"
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tideline", description="change data capture on Spark")
     commands = p.add_subparsers(dest="command", metavar="COMMAND")
@@ -36,7 +46,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("-config", "--config", default="tideline.yaml")
     r.add_argument("-log-level", "--log-level", default="info")
     r.add_argument("-log-format", "--log-format", default="text")
-    r.add_argument("--checkpoint", default="tideline-checkpoints", help="folder for streaming state that all executors share")
+    r.add_argument("--checkpoint", default="", help="folder for streaming state that all executors share; else that of spark.checkpoint.dir")
     m = commands.add_parser("migrate", help="create the control tables")
     m.add_argument("-config", "--config", default="tideline.yaml")
     commands.add_parser("schema", help="print the control tables")
@@ -77,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
             from .streaming.service import run
 
             spark = SparkSession.builder.appName("tideline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-            run(spark, config, args.checkpoint)
+            run(spark, config, checkpoint_folder(spark, args.checkpoint))
     except Exception as e:  # noqa: BLE001  the user gets one line
         print(f"tideline: {e}", file=sys.stderr)
         return 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -46,8 +47,9 @@ def json_event(numbers: Iterable[str] = ()) -> Column:
 FIELDS = {"source_id": 1, "schema": 2, "table": 3, "op": 4, "before": 5, "after": 6, "position": 7, "commit_ts": 8}
 
 
+@functools.cache
 def message_class():
-    """The protobuf message type, built at run time."""
+    """The protobuf message type, built once a process."""
     from google.protobuf import descriptor_pb2, descriptor_pool, message_factory, struct_pb2, timestamp_pb2
 
     pool = descriptor_pool.DescriptorPool()

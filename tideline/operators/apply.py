@@ -28,13 +28,15 @@ def apply_changes(log: DataFrame, keys: Sequence[str], columns: Mapping[str, str
     upsert clears the stamp. An update that changes the key leaves the old row unless
     rekey is set. Events are taken as valid: see violations().
 
-    One partial aggregation on the key; the truncate fence is a single row.
+    One partial aggregation on the key; the truncate fence is a single row, and with soft_delete the truncates
+    are met by log number.
     """
     if rekey:
         log = rekeyed(log, keys)
     up = F.col("op").isin(*UPSERTS)
     key = F.when(up, row_key(keys, "after")).otherwise(row_key(keys, "before"))
-    fences = log.where(F.col("op") == TRUNCATE).agg(F.max("seq").alias("fence"), F.array_sort(F.collect_set(F.struct("seq", "commit_ts"))).alias("fences") if soft_delete else F.lit(None).alias("fences"))
+    truncates = log.where(F.col("op") == TRUNCATE)
+    fences = truncates.agg(F.max("seq").alias("fence"))
     rows = log.where((F.col("op") != TRUNCATE) & key.isNotNull()).select("seq", "op", "commit_ts", key.alias("k"), "after")
     rest = [c for c in columns if c not in keys]
     sent = lambda c: up & F.map_contains_key("after", F.lit(c))
@@ -43,14 +45,14 @@ def apply_changes(log: DataFrame, keys: Sequence[str], columns: Mapping[str, str
         F.max(F.when(~up, F.struct("seq", "commit_ts"))).alias("gone"),
         *[F.max(F.when(sent(c), F.struct(F.col("seq"), F.col("after")[c].alias("v")))).alias(f"c_{i}") for i, c in enumerate(rest)],
     )
-    state = folded.where(F.col("last_seq").isNotNull()).crossJoin(F.broadcast(fences))
+    state = folded.where(F.col("last_seq").isNotNull())
     if soft_delete:
-        late = F.filter("fences", lambda f: f["seq"] > F.col("last_seq"))
-        stamp = F.when(F.col("gone.seq") > F.col("last_seq"), F.col("gone.commit_ts")).otherwise(F.get(late, F.lit(0))["commit_ts"])
-        value = lambda c: F.col(f"{c}.v")
+        ended = first_after(state, truncates.select("seq", "commit_ts"))
+        stamp = F.when(F.col("gone.seq") > F.col("last_seq"), F.col("gone.commit_ts")).otherwise(F.col("_next.commit_ts"))
+        state, value = ended, lambda c: F.col(f"{c}.v")
     else:
         reset = F.greatest(F.coalesce("gone.seq", F.lit(-1)), F.coalesce("fence", F.lit(-1)))
-        state = state.where(F.col("last_seq") > reset)
+        state = state.crossJoin(F.broadcast(fences)).where(F.col("last_seq") > reset)
         value = lambda c: F.when(F.col(f"{c}.seq") > reset, F.col(f"{c}.v"))
     out = state.select(
         *[F.col(f"k.{k}").cast(columns[k]).alias(k) for k in keys],
@@ -61,6 +63,55 @@ def apply_changes(log: DataFrame, keys: Sequence[str], columns: Mapping[str, str
     return out
 
 
+#: Ranges of log numbers that marks are dealt into, and marks up to which they are broadcast.
+RANGES, FEW_MARKS = 4096, 100_000
+
+
+def first_after(rows: DataFrame, marks: DataFrame, at: str = "last_seq") -> DataFrame:
+    """rows with _next (seq, commit_ts): the first mark numbered above `at`, or null.
+
+    Marks are dealt into at most RANGES ranges of log numbers. A row looks through those of its own
+    range, which it meets by an equi-join, and then at the first mark of every later range, an array of
+    at most RANGES entries, which alone is always broadcast.
+    """
+    n, low, high = marks.agg(F.count("*"), F.min("seq"), F.max("seq")).first()
+    if not n:
+        return rows.withColumn("_next", F.lit(None).cast("struct<seq: bigint, commit_ts: timestamp>"))
+    step = -(-(high - low + 1) // RANGES)
+    range_ = lambda c: F.floor((c - low) / step)
+    own = marks.groupBy(range_(F.col("seq")).alias("_range")).agg(F.array_sort(F.collect_set(F.struct("seq", "commit_ts"))).alias("_own"))
+    heads = own.agg(F.array_sort(F.collect_list(F.get("_own", F.lit(0)))).alias("_heads"))
+    first = lambda array: F.get(F.filter(array, lambda m: m["seq"] > F.col(at)), F.lit(0))
+    met = rows.withColumn("_at", F.greatest(range_(F.col(at)), F.lit(0))).join(F.broadcast(own) if n <= FEW_MARKS else own, F.col("_at") == F.col("_range"), "left")
+    return met.crossJoin(F.broadcast(heads)).withColumn("_next", F.coalesce(first("_own"), first("_heads"))).drop("_at", "_range", "_own", "_heads")
+
+
+def image_state(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(key struct of texts, image, last_seq): a table's rows after its log, whatever columns it has.
+
+    The rules of apply_changes, without declared columns or types: each column of an image is an
+    entry of its own, so both aggregations are partial and the second keeps the partitioning of the first.
+    """
+    up = F.col("op").isin(*UPSERTS)
+    key = F.when(up, row_key(keys, "after")).otherwise(row_key(keys, "before"))
+    rows = log.where((F.col("op") != TRUNCATE) & key.isNotNull()).select("seq", "op", "after", key.alias("key"))
+    fence = log.where(F.col("op") == TRUNCATE).agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("fence"))
+    # A row's own numbers travel as the entry without a name.
+    mark = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    entries = F.when(F.col("op").isin(*UPSERTS), F.concat(F.map_entries("after"), F.array(mark))).otherwise(F.array(mark))
+    cells = rows.withColumn("e", F.explode(entries)).groupBy("key", F.col("e.key").alias("c")).agg(F.max(F.struct("seq", "e.value")).alias("last"), F.max(F.when(F.col("op") != DELETE, F.col("seq"))).alias("up"), F.max(F.when(F.col("op") == DELETE, F.col("seq"))).alias("gone"))
+    whole = cells.groupBy("key").agg(F.max("up").alias("last_seq"), F.max("gone").alias("gone"), F.collect_list(F.when(F.col("c").isNotNull(), F.struct("c", "last"))).alias("cells"))
+    reset = F.greatest(F.coalesce("gone", F.lit(-1)), "fence")
+    live = whole.crossJoin(F.broadcast(fence)).where(F.col("last_seq") > reset)
+    kept = F.filter("cells", lambda x: x["last"]["seq"] > reset)
+    return live.select("key", F.map_from_entries(F.transform(kept, lambda x: F.struct(x["c"].alias("key"), x["last"]["value"].alias("value")))).alias("image"), "last_seq")
+
+
+def read_events(state: DataFrame, source_id: str, schema: str, table: str, position: str, seq: int) -> DataFrame:
+    """Rows of image_state as read events at a consistent point; commit_ts is null."""
+    return state.select(F.lit(seq).cast("long").alias("seq"), F.lit(source_id).alias("source_id"), F.lit(schema).alias("schema"), F.lit(table).alias("table"), F.lit(READ).alias("op"), F.lit(None).cast("map<string,string>").alias("before"), F.col("image").alias("after"), F.lit(position).alias("position"), F.lit(None).cast("timestamp").alias("commit_ts"))
+
+
 def violations(keys: Mapping[str, Sequence[str]], schemas: Mapping[str, Sequence[str]] | None = None) -> Column:
     """Why an event can't be applied, or null.
 

@@ -7,59 +7,140 @@ from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Source as SourceConfig
+from ..model import qualified
+from ..operators.apply import image_state, read_events
+from ..operators.snapshot import keyset_page
+from .changelog import KEYS
 
 
 @dataclass(frozen=True)
 class ReadRequest:
-    """Where to start. A forced bootstrap snapshots anew; a chunk lets a snapshot go on."""
+    """Where to start: after the event number seq, or, where only a position is known, before its first event.
+
+    Rows of one snapshot, chunk or transaction share a position, so a position alone can't say how many of them were delivered.
+    """
 
     position: str | None = None
-    force_bootstrap: bool = False
-    chunk_table: str | None = None
-    chunk_key: str | None = None
-    hooks: object = None
+    seq: int | None = None
 
 
 class Reader(Protocol):
-    def read_changes(self, spark: SparkSession, request: ReadRequest) -> DataFrame: ...
+    """A log and the tables it speaks of."""
+
+    def read_changes(self, spark: SparkSession, request: ReadRequest) -> DataFrame:
+        """The stored log as a stream, from the request on."""
+
+    def decode(self, batch: DataFrame) -> DataFrame:
+        """Change records of a micro-batch of that stream. Batches come in order, once a reader."""
+
+    def log(self, spark: SparkSession, after: int = 0, upto: int | None = None) -> DataFrame:
+        """Change records numbered above `after` up to `upto`, as a batch frame."""
 
+    def end(self, spark: SparkSession) -> tuple[str, int]:
+        """Position and number of the newest event; ('', 0) before the first."""
 
-class Acker(Protocol):
-    def ack(self, position: str) -> None: ...
+    def tables(self, spark: SparkSession) -> dict[str, list[str]]:
+        """Key columns by qualified table, in the order in which they are to be read."""
 
+    def snapshot(self, spark: SparkSession, table: str, at: int, position: str) -> DataFrame:
+        """A table's rows as read events as they stood after event `at`."""
 
-class LagReporter(Protocol):
-    def lag_bytes(self) -> int | None: ...
+    def page(self, spark: SparkSession, table: str, after: list[str] | None, size: int, at: int, position: str) -> DataFrame:
+        """The next `size` of those rows by key."""
 
 
 class SourceNotAvailable(NotImplementedError):
     """A source whose client library isn't installed here."""
 
 
-@dataclass
-class ChangelogReader:
-    """Replays a Parquet change log from the event after a position."""
+class LogReader:
+    """What readers over stored logs share. One says where its log lies (`path`) and how a stored batch becomes records (`decode`).
 
-    config: SourceConfig
-    acked: list[str] = field(default_factory=list)
+    A table is read by folding the log up to a point, which reads that much of it: for replays and
+    tests; a live database is read over JDBC (jdbc_rows).
+    """
+
+    source_id: str
+    path: str
+    max_files: int = 16
+    raw_schema: object = None
+
+    def decode(self, batch: DataFrame) -> DataFrame:
+        return batch
+
+    def ack(self, position: str) -> None:
+        """The newest position that may be forgotten; a stored log forgets nothing."""
+        self.acked = position
+
+    def stored(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.raw_schema).parquet(self.path) if self.raw_schema is not None else spark.read.parquet(self.path)
+
+    def starts_after(self, spark: SparkSession, request: ReadRequest) -> int:
+        if request.seq is not None:
+            return request.seq
+        if not request.position:
+            return 0
+        found = self.log(spark).where(F.col("position") == request.position).agg(F.min("seq")).first()[0]
+        if found is None:
+            raise ValueError(f"the log has no position {request.position!r}")
+        return found - 1
 
     def read_changes(self, spark: SparkSession, request: ReadRequest) -> DataFrame:
-        from pyspark.sql import functions as F
+        schema = self.raw_schema if self.raw_schema is not None else self.stored(spark).schema
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", self.max_files).parquet(self.path)
+        return stream.where(F.col("seq") > self.starts_after(spark, request))
 
-        from ..streaming.replay import replay_stream
+    def log(self, spark: SparkSession, after: int = 0, upto: int | None = None) -> DataFrame:
+        d = self.stored(spark).where(F.col("seq") > after)
+        return self.decode(d if upto is None else d.where(F.col("seq") <= upto))
 
-        start = 0
-        if request.position:
-            found = spark.read.parquet(self.config.changelog.path).where(F.col("position") == request.position).agg(F.max("seq")).first()[0]
-            if found is None:
-                raise ValueError(f"the log has no position {request.position!r}")
-            start = found
-        return replay_stream(spark, self.config.changelog.path, start, self.config.changelog.max_files)
+    def end(self, spark: SparkSession) -> tuple[str, int]:
+        last = self.stored(spark).agg(F.max("seq")).first()[0]
+        if not last:
+            return "", 0
+        row = self.log(spark, max(0, last - 1)).select("position").first()
+        return (row[0] if row else "", last)
 
-    def ack(self, position: str) -> None:
-        self.acked.append(position)
+    def tables(self, spark: SparkSession) -> dict[str, list[str]]:
+        raise NotImplementedError
+
+    def _rows(self, spark: SparkSession, table: str, at: int) -> DataFrame:
+        keys = self.tables(spark).get(table)
+        if not keys:
+            raise ValueError(f"table {table} has no key columns to read it by")
+        return image_state(self.log(spark, 0, at).where(qualified() == table), keys)
+
+    def snapshot(self, spark: SparkSession, table: str, at: int, position: str) -> DataFrame:
+        return read_events(self._rows(spark, table, at), self.source_id, *split_table(table), position, at)
+
+    def page(self, spark: SparkSession, table: str, after: list[str] | None, size: int, at: int, position: str) -> DataFrame:
+        keys = self.tables(spark)[table]
+        rows = keyset_page(self._rows(spark, table, at), [f"key.{k}" for k in keys], after, size)
+        return read_events(rows, self.source_id, *split_table(table), position, at)
+
+
+def split_table(name: str) -> tuple[str, str]:
+    schema, dot, table = name.partition(".")
+    return (schema, table) if dot else ("", name)
+
+
+@dataclass
+class ChangelogReader(LogReader):
+    """A change log kept as Parquet, in the record's own form."""
+
+    config: SourceConfig
+    acked: str | None = field(default=None, init=False)
+
+    def __post_init__(self):
+        from ..model import SCHEMA
+
+        self.source_id, self.path, self.max_files, self.raw_schema = self.config.id, self.config.changelog.path, self.config.changelog.max_files, SCHEMA
+
+    def tables(self, spark: SparkSession) -> dict[str, list[str]]:
+        return dict(self.config.changelog.keys) or dict(KEYS)
 
 
 @dataclass
@@ -70,17 +151,28 @@ class DatabaseReader:
     library: str
 
     def read_changes(self, spark: SparkSession, request: ReadRequest) -> DataFrame:
-        raise SourceNotAvailable(f"source {self.config.type!r} needs the library {self.library}; feed its messages through a change log instead")
+        raise SourceNotAvailable(f"source {self.config.type!r} needs the library {self.library}; record its messages and set `recording`, or feed a change log")
+
+
+def _postgres(c: SourceConfig):
+    from .recorded import PostgresRecording
+
+    return PostgresRecording(c) if c.postgres.recording else DatabaseReader(c, "psycopg")
+
+
+def _mysql(c: SourceConfig):
+    from .recorded import MySQLRecording
+
+    return MySQLRecording(c) if c.mysql.recording else DatabaseReader(c, "mysql-replication")
+
+
+def _mongo(c: SourceConfig):
+    from .recorded import MongoRecording
+
+    return MongoRecording(c) if c.mongodb.recording else DatabaseReader(c, "pymongo")
 
 
-READERS: dict[str, Callable[[SourceConfig], Reader]] = {
-    "changelog": ChangelogReader,
-    "postgres": lambda c: DatabaseReader(c, "psycopg"),
-    "postgresql": lambda c: DatabaseReader(c, "psycopg"),
-    "mysql": lambda c: DatabaseReader(c, "mysql-replication"),
-    "mongodb": lambda c: DatabaseReader(c, "pymongo"),
-    "mongo": lambda c: DatabaseReader(c, "pymongo"),
-}
+READERS: dict[str, Callable[[SourceConfig], Reader]] = {"changelog": ChangelogReader, "postgres": _postgres, "postgresql": _postgres, "mysql": _mysql, "mongodb": _mongo, "mongo": _mongo}
 
 
 def build_reader(config: SourceConfig) -> Reader:
@@ -89,9 +181,8 @@ def build_reader(config: SourceConfig) -> Reader:
     return READERS[config.type](config)
 
 
-def snapshot_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, properties: dict[str, str] | None = None) -> DataFrame:
-    """A table's rows over JDBC for a snapshot, in parallel ranges of a numeric key if bounds are given; needs the driver's jar."""
-    r = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**(properties or {}))
-    if key and bounds:
-        r = r.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
-    return r.load()
+def jdbc_rows(spark: SparkSession, url: str, table: str, properties: dict[str, str] | None = None, predicates: list[str] | None = None) -> DataFrame:
+    """A table's rows over JDBC, one partition a predicate; needs the driver's jar. Read as read events by apply.snapshot_events."""
+    if predicates:
+        return spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
+    return spark.read.jdbc(url, table, properties=properties or {})

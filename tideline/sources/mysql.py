@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 #: Statements that change the schema or end a transaction.
 BOUNDARY = ("ALTER", "CREATE", "DROP", "RENAME", "TRUNCATE")
-#: Column types whose bytes stay bytes.
-BINARY_TYPES = ("BLOB", "TINYBLOB", "MEDIUMBLOB", "LONGBLOB", "BINARY", "VARBINARY", "GEOMETRY")
-
 
 def is_boundary(query: Column) -> Column:
     q = F.upper(F.trim(query))
@@ -27,7 +24,7 @@ def stamp_positions(log: DataFrame, gtid: str = "gtid", start: str = "") -> Data
 
     log: seq, file, boundary, gtid (the set executed at a boundary). The running value is
     carried by binlog file: within a file by a window, between files by each one's last
-    boundary, so no window spans the whole log.
+    boundary, so no window spans the whole log; the second window holds one row a file.
     """
     ended = F.when(F.col("boundary"), F.col(gtid))
     own = Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,6 +55,23 @@ def captures(tables: list[str]) -> Column:
     return F.lower(F.concat_ws(".", "schema", "table")).isin([t.lower() for t in tables])
 
 
+def snapshot_tables(configured: list[str], known: list[str], database: str) -> list[str]:
+    """Tables to read: those configured, each named database.table, else all known ones of the connection's database."""
+    for name in configured:
+        left, dot, right = name.partition(".")
+        if not (left and dot and right):
+            raise ValueError(f"table {name!r} must be named database.table")
+    if configured:
+        by_name = {k.lower(): k for k in known}
+        missing = [t for t in configured if t.lower() not in by_name]
+        if missing:
+            raise ValueError(f"unknown table {missing[0]!r}")
+        return [by_name[t.lower()] for t in configured]
+    if not database:
+        raise ValueError("name tables to read, or a database in the dsn")
+    return sorted(k for k in known if k.partition(".")[0] == database)
+
+
 def parse_dsn(dsn: str) -> dict[str, object]:
     """user, password, host, port, database of 'user:password@tcp(host:port)/database'."""
     m = re.fullmatch(r"(?:(?P<user>[^:@/]*)(?::(?P<password>.*))?@)?(?P<net>\w+)\((?P<addr>[^)]*)\)/(?P<database>[^?]*)(?:\?.*)?", dsn)

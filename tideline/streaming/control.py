@@ -1,51 +1,50 @@
-"""The control store: leases, offsets, cursors, snapshot state and dead letters, in SQLite.
+"""The control store: who leads a pipeline, and how far everything in it has come, in SQLite.
 
-Every write that moves progress is fenced: it takes effect only while its holder has an
-unexpired lease, in the same statement.
+Two tables. `terms` says who leads until when, and counts the terms. `marks` holds all
+progress: one row a (pipeline, kind, name) with a log number and a JSON body. A mark is
+put inside a transaction that first looks at the term, so an instance whose term is
+over can't move anything.
 """
 
 from __future__ import annotations
 
+import json
 import sqlite3
 import threading
 import time
 from contextlib import contextmanager
 
 DDL = """
-CREATE TABLE IF NOT EXISTS offsets (pipeline_id TEXT PRIMARY KEY, position TEXT NOT NULL, commit_ts REAL, updated_at REAL NOT NULL);
-CREATE TABLE IF NOT EXISTS leases (pipeline_id TEXT PRIMARY KEY, holder TEXT NOT NULL, expires_at REAL NOT NULL);
-CREATE TABLE IF NOT EXISTS sink_cursor (pipeline_id TEXT NOT NULL, sink_name TEXT NOT NULL, position TEXT NOT NULL, seq INTEGER NOT NULL, updated_at REAL NOT NULL, PRIMARY KEY (pipeline_id, sink_name));
-CREATE TABLE IF NOT EXISTS snapshot_state (pipeline_id TEXT PRIMARY KEY, phase TEXT NOT NULL CHECK (phase IN ('running', 'done')), slot_name TEXT, consistent_lsn TEXT, started_at REAL, completed_at REAL, mode TEXT NOT NULL DEFAULT 'single', chunk_table TEXT, chunk_key TEXT);
-CREATE TABLE IF NOT EXISTS dead_letters (id INTEGER PRIMARY KEY AUTOINCREMENT, pipeline_id TEXT NOT NULL, sink_name TEXT NOT NULL, position TEXT NOT NULL, attempts INTEGER NOT NULL, error TEXT NOT NULL, event TEXT NOT NULL, created_at REAL NOT NULL);
-CREATE INDEX IF NOT EXISTS dead_letters_by_pipeline ON dead_letters (pipeline_id, created_at DESC);
+CREATE TABLE IF NOT EXISTS terms (pipeline TEXT PRIMARY KEY, number INTEGER NOT NULL, leader TEXT, until REAL);
+CREATE TABLE IF NOT EXISTS marks (pipeline TEXT NOT NULL, kind TEXT NOT NULL, name TEXT NOT NULL, seq INTEGER NOT NULL, term INTEGER NOT NULL, body TEXT NOT NULL, PRIMARY KEY (pipeline, kind, name)) WITHOUT ROWID;
 """
 
+#: Kinds of marks.
+OFFSET, CURSOR, SNAPSHOT, PARKED = "offset", "cursor", "snapshot", "parked"
+
 
 class LeaseLost(RuntimeError):
-    """A write came from an instance that no longer holds the lease."""
+    """A write came from an instance whose term is over."""
 
 
 class ControlStore:
-    """Open with a file path, or ':memory:' for one process."""
+    """Open with a file path, or ':memory:' for one process. `now` is a parameter for tests."""
 
     def __init__(self, path: str):
         self.db = sqlite3.connect(path, check_same_thread=False, isolation_level=None, timeout=30)
         self.lock = threading.RLock()
 
     @contextmanager
-    def _write(self):
+    def _alone(self):
+        """One writing transaction: no other connection writes between what it reads and what it puts."""
         with self.lock:
             self.db.execute("BEGIN IMMEDIATE")
             try:
                 yield self.db
-                self.db.execute("COMMIT")
             except BaseException:
                 self.db.execute("ROLLBACK")
                 raise
-
-    def _read(self, sql: str, *args):
-        with self.lock:
-            return self.db.execute(sql, args).fetchall()
+            self.db.execute("COMMIT")
 
     def migrate(self) -> None:
         """Create what is missing; safe to repeat."""
@@ -55,61 +54,101 @@ class ControlStore:
     def close(self) -> None:
         self.db.close()
 
+    # terms
+
+    def _term(self, pipeline: str) -> tuple[int, str, float]:
+        row = self.db.execute("SELECT number, leader, until FROM terms WHERE pipeline = ?", (pipeline,)).fetchone()
+        return row or (0, "", float("-inf"))
+
     def acquire(self, pipeline: str, holder: str, ttl: float, now: float | None = None) -> bool:
-        """Take a free or expired lease, or renew one's own; one conditional update decides."""
+        """Begin a term if nobody leads, or prolong one's own."""
         now = time.time() if now is None else now
-        with self._write() as db:
-            db.execute("INSERT OR IGNORE INTO leases VALUES (?, '', -1)", (pipeline,))
-            got = db.execute("UPDATE leases SET holder = ?, expires_at = ? WHERE pipeline_id = ? AND (holder = ? OR expires_at < ?)", (holder, now + ttl, pipeline, holder, now))
-            return got.rowcount == 1
+        with self._alone() as db:
+            number, leader, until = self._term(pipeline)
+            own = leader == holder
+            if not own and until >= now:
+                return False
+            number += not own or until < now
+            db.execute("REPLACE INTO terms VALUES (?, ?, ?, ?)", (pipeline, number, holder, now + ttl))
+            return True
 
     def release(self, pipeline: str, holder: str) -> None:
-        with self._write() as db:
-            db.execute("UPDATE leases SET expires_at = -1 WHERE pipeline_id = ? AND holder = ?", (pipeline, holder))
+        """End one's own term at once."""
+        with self._alone() as db:
+            number, leader, _ = self._term(pipeline)
+            if leader == holder:
+                db.execute("REPLACE INTO terms VALUES (?, ?, '', -1)", (pipeline, number))
 
     def holder(self, pipeline: str, now: float | None = None) -> str:
-        rows = self._read("SELECT holder FROM leases WHERE pipeline_id = ? AND expires_at >= ?", pipeline, time.time() if now is None else now)
-        return rows[0][0] if rows else ""
+        with self.lock:
+            _, leader, until = self._term(pipeline)
+        return leader if until >= (time.time() if now is None else now) else ""
 
-    def _fenced(self, sql: str, args: tuple, pipeline: str, holder: str, now: float | None) -> None:
-        """Run sql, which ends in a condition on the lease of (pipeline, holder, now)."""
-        now = time.time() if now is None else now
-        with self._write() as db:
-            if not db.execute(sql, (*args, pipeline, holder, now)).rowcount:
-                raise LeaseLost(f"{holder} doesn't hold the lease of {pipeline}")
+    # marks
+
+    @contextmanager
+    def _leading(self, pipeline: str, holder: str, now: float | None):
+        with self._alone() as db:
+            number, leader, until = self._term(pipeline)
+            if leader != holder or until < (time.time() if now is None else now):
+                raise LeaseLost(f"{holder} doesn't lead {pipeline}")
 
-    LEASE = "EXISTS (SELECT 1 FROM leases WHERE pipeline_id = ? AND holder = ? AND expires_at >= ?)"
+            def put(kind: str, name: str, seq: int, **body) -> None:
+                db.execute("REPLACE INTO marks VALUES (?, ?, ?, ?, ?, ?)", (pipeline, kind, name, seq, number, json.dumps(body)))
+
+            yield put
+
+    def _marks(self, pipeline: str, kind: str) -> list[tuple[str, int, dict]]:
+        with self.lock:
+            rows = self.db.execute("SELECT name, seq, body FROM marks WHERE pipeline = ? AND kind = ? ORDER BY name", (pipeline, kind)).fetchall()
+        return [(name, seq, json.loads(body)) for name, seq, body in rows]
+
+    def progress(self, pipeline: str) -> tuple[str, int] | None:
+        """(position, seq) of the last event that every sink has."""
+        found = self._marks(pipeline, OFFSET)
+        return (found[0][2]["position"], found[0][1]) if found else None
 
     def load_offset(self, pipeline: str) -> str | None:
-        rows = self._read("SELECT position FROM offsets WHERE pipeline_id = ?", pipeline)
-        return rows[0][0] if rows else None
+        found = self.progress(pipeline)
+        return found[0] if found else None
 
-    def save_offset(self, pipeline: str, holder: str, position: str, commit_ts: float | None = None, now: float | None = None) -> None:
-        self._fenced(f"INSERT INTO offsets SELECT ?, ?, ?, ? WHERE {self.LEASE} ON CONFLICT (pipeline_id) DO UPDATE SET position = excluded.position, commit_ts = excluded.commit_ts, updated_at = excluded.updated_at", (pipeline, position, commit_ts, time.time()), pipeline, holder, now)
+    def save_offset(self, pipeline: str, holder: str, position: str, seq: int = 0, now: float | None = None) -> None:
+        with self._leading(pipeline, holder, now) as put:
+            put(OFFSET, "", seq, position=position)
 
     def advance_cursor(self, pipeline: str, holder: str, sink: str, position: str, seq: int, now: float | None = None) -> None:
-        self._fenced(f"INSERT INTO sink_cursor SELECT ?, ?, ?, ?, ? WHERE {self.LEASE} ON CONFLICT (pipeline_id, sink_name) DO UPDATE SET position = excluded.position, seq = excluded.seq, updated_at = excluded.updated_at", (pipeline, sink, position, seq, time.time()), pipeline, holder, now)
+        with self._leading(pipeline, holder, now) as put:
+            put(CURSOR, sink, seq, position=position)
 
     def cursors(self, pipeline: str) -> list[tuple[str, str, int]]:
-        return self._read("SELECT sink_name, position, seq FROM sink_cursor WHERE pipeline_id = ? ORDER BY sink_name", pipeline)
+        """(sink, position, seq), by sink."""
+        return [(name, body["position"], seq) for name, seq, body in self._marks(pipeline, CURSOR)]
+
+    def snapshot_state(self, pipeline: str) -> dict | None:
+        found = self._marks(pipeline, SNAPSHOT)
+        return found[0][2] if found else None
 
     def begin_snapshot(self, pipeline: str, holder: str, mode: str = "single", slot: str = "", lsn: str = "", now: float | None = None) -> None:
-        self._fenced(f"INSERT INTO snapshot_state SELECT ?, 'running', ?, ?, ?, NULL, ?, NULL, NULL WHERE {self.LEASE} ON CONFLICT (pipeline_id) DO UPDATE SET phase = 'running', slot_name = excluded.slot_name, consistent_lsn = excluded.consistent_lsn, started_at = excluded.started_at, completed_at = NULL, mode = excluded.mode, chunk_table = NULL, chunk_key = NULL", (pipeline, slot, lsn, time.time(), mode or "single"), pipeline, holder, now)
+        """A snapshot starts from nothing: what an earlier one had done is forgotten."""
+        with self._leading(pipeline, holder, now) as put:
+            put(SNAPSHOT, "", 0, phase="running", mode=mode or "single", slot_name=slot, consistent_lsn=lsn, chunk_table=None, chunk_key=None)
+
+    def _change_snapshot(self, pipeline: str, holder: str, now: float | None, **changes) -> None:
+        with self._leading(pipeline, holder, now) as put:
+            put(SNAPSHOT, "", 0, **(self.snapshot_state(pipeline) or {}) | changes)
 
     def save_chunk(self, pipeline: str, holder: str, table: str, key: str, now: float | None = None) -> None:
         """key: JSON list of the last accepted row's key values as text, so no number loses digits."""
-        self._fenced(f"UPDATE snapshot_state SET chunk_table = ?, chunk_key = ? WHERE pipeline_id = ? AND {self.LEASE}", (table, key, pipeline), pipeline, holder, now)
+        self._change_snapshot(pipeline, holder, now, chunk_table=table, chunk_key=key)
 
     def complete_snapshot(self, pipeline: str, holder: str, lsn: str = "", now: float | None = None) -> None:
-        self._fenced(f"UPDATE snapshot_state SET phase = 'done', consistent_lsn = CASE WHEN ? = '' THEN consistent_lsn ELSE ? END, completed_at = ? WHERE pipeline_id = ? AND {self.LEASE}", (lsn, lsn, time.time(), pipeline), pipeline, holder, now)
-
-    def snapshot_state(self, pipeline: str) -> dict | None:
-        names = ("phase", "slot_name", "consistent_lsn", "mode", "chunk_table", "chunk_key")
-        rows = self._read(f"SELECT {', '.join(names)} FROM snapshot_state WHERE pipeline_id = ?", pipeline)
-        return dict(zip(names, rows[0])) if rows else None
+        self._change_snapshot(pipeline, holder, now, phase="done", **({"consistent_lsn": lsn} if lsn else {}))
 
     def dead_letter(self, pipeline: str, holder: str, sink: str, position: str, attempts: int, error: str, event: str, now: float | None = None) -> None:
-        self._fenced(f"INSERT INTO dead_letters (pipeline_id, sink_name, position, attempts, error, event, created_at) SELECT ?, ?, ?, ?, ?, ?, ? WHERE {self.LEASE}", (pipeline, sink, position, attempts, error, event, time.time()), pipeline, holder, now)
+        with self._leading(pipeline, holder, now) as put:
+            (number,) = self.db.execute("SELECT coalesce(max(seq) + 1, 0) FROM marks WHERE pipeline = ? AND kind = ?", (pipeline, PARKED)).fetchone()
+            put(PARKED, f"{number:012d}", number, sink=sink, position=position, attempts=attempts, error=error, event=event)
 
     def dead_letters(self, pipeline: str) -> list[tuple]:
-        return self._read("SELECT sink_name, position, attempts, error, event FROM dead_letters WHERE pipeline_id = ? ORDER BY id", pipeline)
+        """(sink, position, attempts, error, event), oldest first."""
+        return [tuple(body[k] for k in ("sink", "position", "attempts", "error", "event")) for _, _, body in self._marks(pipeline, PARKED)]

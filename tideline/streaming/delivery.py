@@ -1,17 +1,23 @@
-"""Delivery to sinks with retries, quarantine and cursors; commits at the slowest sink."""
+"""Delivery: every sink has its own way through the log, with a bounded queue, retries, quarantine and a cursor."""
 
 from __future__ import annotations
 
+import queue
 import threading
 import time
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.encoding import encoder
 from .control import ControlStore, LeaseLost
 from .observe import Registry
-from .sinks import Sink, to_json
+from .sinks import PAYLOAD, Sink, to_json
+
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 @dataclass(frozen=True)
@@ -19,6 +25,8 @@ class Policy:
     """How a sink is served. max_attempts parks events; without it a batch is tried for ever."""
 
     batch_max_events: int = 500
+    batch_max_wait: float = 0.2
+    queue_size: int = 4096
     retry_initial: float = 0.25
     retry_max: float = 30.0
     dead_letter: bool = False
@@ -29,8 +37,28 @@ class Stopped(RuntimeError):
     """The pipeline was asked to stop before a batch was through."""
 
 
+def encoded(df: DataFrame, encoding: str = "json") -> DataFrame:
+    """Events as sinks take them: the payload is encoded in the JVM, and the commit time is a number, so no local time zone touches it."""
+    build, _ = encoder(encoding)
+    return df.select("*", build().alias(PAYLOAD)).withColumn("commit_ts", F.unix_micros("commit_ts"))
+
+
+def rows(df: DataFrame) -> Iterator[dict]:
+    """Events of an encoded frame in the order of seq, partition by partition."""
+    for r in df.orderBy("seq").toLocalIterator(prefetchPartitions=True):
+        event = r.asDict(recursive=True)
+        if event["commit_ts"] is not None:
+            event["commit_ts"] = EPOCH + timedelta(microseconds=event["commit_ts"])
+        yield event
+
+
 class Delivery:
-    """One sink's way through the log: ordered batches, each accepted or parked before the next."""
+    """One sink's way through the log: ordered batches, each accepted or parked before the next.
+
+    Between the log and the sink stands a queue of at most queue_size events: a slow sink
+    stops its own reading and nothing else. A batch is closed when it has batch_max_events,
+    or batch_max_wait seconds after its first event.
+    """
 
     def __init__(self, pipeline: str, holder: str, sink: Sink, store: ControlStore, policy: Policy = Policy(), metrics: Registry | None = None, sleep: Callable[[float], bool] | None = None):
         self.pipeline, self.holder, self.sink, self.store, self.policy = pipeline, holder, sink, store, policy
@@ -78,24 +106,107 @@ class Delivery:
             if (one := self._try([e], 1)) is not None:
                 self._park(e, one)
 
-    def run(self, events: Iterable[dict]) -> None:
-        """All events in order, in batches; the cursor follows each."""
-        held: list[dict] = []
-        for e in events:
-            held.append(e)
-            if len(held) >= self.policy.batch_max_events:
-                self._flush(held)
-                held = []
-        if held:
-            self._flush(held)
+    def run(self, events: Iterable[dict], cursor: bool = True) -> int:
+        """All events in order, in batches; the cursor follows each. The number of events."""
+        held: queue.Queue = queue.Queue(self.policy.queue_size)
+        over, failed = threading.Event(), []
+
+        def put(item) -> bool:
+            while not (over.is_set() or self.stop.is_set()):
+                try:
+                    held.put(item, timeout=0.1)
+                    return True
+                except queue.Full:
+                    continue
+            return False
+
+        def feed() -> None:
+            try:
+                for e in events:
+                    if not put(e):
+                        return
+            except BaseException as e:  # noqa: BLE001  raised again below
+                failed.append(e)
+            put(None)
+
+        feeder = threading.Thread(target=feed, daemon=True)
+        feeder.start()
+        done = 0
+        try:
+            for batch in self._batches(held):
+                self.batch(batch)
+                done += len(batch)
+                if cursor:
+                    self.store.advance_cursor(self.pipeline, self.holder, self.sink.name, batch[-1]["position"], batch[-1]["seq"])
+            if failed:
+                raise failed[0]
+            return done
+        finally:
+            over.set()
+            feeder.join()
+            self.metrics.set("tideline_queue_events", 0, **self.labels)
+
+    def _batches(self, held: queue.Queue) -> Iterator[list[dict]]:
+        """What the queue holds, cut by number and by time; ends with the events."""
+        batch: list[dict] = []
+        due = 0.0
+        while True:
+            self.metrics.set("tideline_queue_events", held.qsize(), **self.labels)
+            if self.stop.is_set():
+                raise Stopped(self.sink.name)
+            try:
+                e = held.get(timeout=min(0.1, max(due - time.monotonic(), 0)) if batch else 0.1)
+            except queue.Empty:
+                if batch and time.monotonic() >= due:
+                    yield batch
+                    batch = []
+                continue
+            if e is None:
+                if batch:
+                    yield batch
+                return
+            if not batch:
+                due = time.monotonic() + self.policy.batch_max_wait
+            batch.append(e)
+            if len(batch) >= self.policy.batch_max_events:
+                yield batch
+                batch = []
+
+    def serve(self, df: DataFrame, cursor: bool = True) -> int:
+        """All events of a batch frame. Sinks of this kind are single ordered consumers; a mirror kept as a table is folded in place instead."""
+        return self.run(rows(encoded(df, getattr(self.sink, "encoding", "json"))), cursor)
+
+    def foreach_batch(self, df: DataFrame, batch_id: int) -> None:
+        """For writeStream.foreachBatch of a query of the sink's own."""
+        n = self.serve(df)
+        self.metrics.add("tideline_events_read_total", n, **self.labels)
+        self.metrics.add("tideline_microbatches_total", **self.labels)
+
+
+class Frame:
+    """A batch frame in the place of a list of events."""
+
+    def __init__(self, df: DataFrame, n: int):
+        self.df, self.n = df, n
+
+    def __len__(self) -> int:
+        return self.n
 
-    def _flush(self, held: list[dict]) -> None:
-        self.batch(held)
-        self.store.advance_cursor(self.pipeline, self.holder, self.sink.name, held[-1]["position"], held[-1]["seq"])
+
+class FrameDelivery(Delivery):
+    """The way of a sink that takes whole frames: nothing passes through the driver but a count and the last position."""
+
+    def serve(self, df: DataFrame, cursor: bool = True) -> int:
+        n, seq, position = df.agg(F.count("*"), F.max("seq"), F.max_by("position", "seq")).first()
+        if n:
+            self._try(Frame(df, n), 0)
+            if cursor:
+                self.store.advance_cursor(self.pipeline, self.holder, self.sink.name, position, seq)
+        return n
 
 
 class Router:
-    """Serves every sink from micro-batches of one stream, and commits what all of them have."""
+    """Commits what all sinks have. Each of them has a query and a cursor of its own, so none waits for another."""
 
     def __init__(self, pipeline: str, holder: str, store: ControlStore, deliveries: Sequence[Delivery], ack: Callable[[str], None] | None = None, metrics: Registry | None = None):
         self.pipeline, self.holder, self.store, self.deliveries = pipeline, holder, store, list(deliveries)
@@ -106,45 +217,64 @@ class Router:
         """Save the slowest cursor if it moved: never while a sink has delivered nothing."""
         names = {d.sink.name for d in self.deliveries}
         cursors = [c for c in self.store.cursors(self.pipeline) if c[0] in names and c[2] > 0]
+        if not cursors:
+            return None
+        newest = max(c[2] for c in cursors)
+        self.metrics.set("tideline_newest_seq", newest, pipeline=self.pipeline)
         if len(cursors) < len(names):
             return None
-        _, position, _ = min(cursors, key=lambda c: c[2])
-        if position != self.committed:
-            self.store.save_offset(self.pipeline, self.holder, position)
-            self.committed = position
+        _, position, seq = min(cursors, key=lambda c: c[2])
+        self.metrics.set("tideline_committed_seq", seq, pipeline=self.pipeline)
+        self.metrics.set("tideline_lag_events", newest - seq, pipeline=self.pipeline)
+        if (position, seq) != self.committed:
+            self.store.save_offset(self.pipeline, self.holder, position, seq)
+            self.committed = position, seq
             self.metrics.add("tideline_offset_commits_total", pipeline=self.pipeline)
             if self.ack:
                 self.ack(position)
         return position
 
-    def foreach_batch(self, df: DataFrame, batch_id: int) -> None:
-        """For writeStream.foreachBatch: rows reach the driver partition by partition in the order of seq.
+    def commit_until(self, over: threading.Event, interval: float) -> None:
+        """Commit every interval seconds, and once more when all is over. A lost lease ends it; other errors pass."""
+        while True:
+            last = over.wait(interval)
+            try:
+                self.commit()
+            except LeaseLost:
+                raise
+            except Exception:  # noqa: BLE001  the store may be away for a while
+                if last:
+                    raise
+            if last:
+                return
 
-        Sinks of this kind are single ordered consumers; a mirror kept as a table is folded
-        in place instead (see streaming.mirror).
-        """
-        ordered = df.orderBy("seq").persist()
-        try:
-            n = ordered.count()
-            self.metrics.add("tideline_events_read_total", n, pipeline=self.pipeline)
-            threads, errors = [], []
+    def serve(self, df: DataFrame, cursor: bool = True) -> None:
+        """A batch frame to all sinks, side by side; the first error once all have ended."""
+        errors: list[Exception] = []
 
-            def serve(d: Delivery) -> None:
-                try:
-                    d.run(r.asDict(recursive=True) for r in ordered.toLocalIterator(prefetchPartitions=True))
-                except Exception as e:  # noqa: BLE001  reported below
-                    errors.append(e)
-
-            for d in self.deliveries:
-                threads.append(threading.Thread(target=serve, args=(d,)))
-                threads[-1].start()
-            for t in threads:
-                t.join()
-            lost = [e for e in errors if isinstance(e, LeaseLost)]
-            if errors:
-                raise (lost or errors)[0]
+        def one(d: Delivery) -> None:
+            try:
+                n = d.serve(df, cursor)
+                self.metrics.add("tideline_events_read_total", n, **d.labels)
+            except Exception as e:  # noqa: BLE001  reported below
+                errors.append(e)
+
+        threads = [threading.Thread(target=one, args=(d,)) for d in self.deliveries]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        lost = [e for e in errors if isinstance(e, LeaseLost)]
+        if errors:
+            raise (lost or errors)[0]
+
+    def foreach_batch(self, df: DataFrame, batch_id: int) -> None:
+        """For one query that feeds all sinks; a slow one holds the others up. service.work gives each a query instead."""
+        held = df.persist()
+        try:
+            self.serve(held)
         finally:
-            ordered.unpersist()
+            held.unpersist()
         self.commit()
 
     def close(self) -> None:
@@ -153,10 +283,6 @@ class Router:
             d.sink.close()
 
 
-def backoff(policy: Policy, failures: int) -> float:
-    return min(policy.retry_initial * 2 ** (failures - 1), policy.retry_max)
-
-
 def wait_until(done: Callable[[], bool], timeout: float, step: float = 0.05) -> bool:
     end = time.monotonic() + timeout
     while time.monotonic() < end:

@@ -13,26 +13,27 @@ from .observe import Health, Registry
 
 @dataclass(frozen=True)
 class Resume:
-    """Where a leader starts: a position, whether to snapshot anew, and the chunk to go on after."""
+    """Where a leader starts: after which event, whether to snapshot anew, and the chunk to go on after."""
 
     position: str | None = None
     force_bootstrap: bool = False
     chunk_table: str | None = None
     chunk_key: str | None = None
+    seq: int | None = None
 
 
-def plan_resume(state: dict | None, offset: str | None) -> Resume:
-    """From the stored snapshot state and offset.
+def plan_resume(state: dict | None, offset: str | None, seq: int | None = None) -> Resume:
+    """From the stored snapshot state and offset (its position, and the number of the event).
 
     A snapshot that never began, or was broken off in single mode, is taken anew. One in
     chunks goes on after its last chunk if the stream has an offset to go on from. A
     finished snapshot without an offset is worth nothing.
     """
     if state and state.get("phase") == "running" and state.get("mode") == "chunked" and offset:
-        return Resume(offset, False, state.get("chunk_table"), state.get("chunk_key"))
+        return Resume(offset, False, state.get("chunk_table"), state.get("chunk_key"), seq)
     if state and state.get("phase") == "done":
-        return Resume(offset, not offset)
-    return Resume(offset, True)
+        return Resume(offset, not offset, seq=seq)
+    return Resume(offset, True, seq=seq)
 
 
 def capture_id(source: dict) -> str:
@@ -61,6 +62,7 @@ class SnapshotHooks:
     def chunk_accepted(self, table: str, key: str) -> None:
         """Only after every sink has the chunk's rows: progress never runs ahead of delivery."""
         self.store.save_chunk(self.pipeline, self.holder, table, key)
+        self.metrics.add("tideline_snapshot_chunks_total", pipeline=self.pipeline)
 
     def completed(self, position: str = "") -> None:
         self.store.complete_snapshot(self.pipeline, self.holder, position)
@@ -113,7 +115,7 @@ class Runner:
         heart = threading.Thread(target=beat, daemon=True)
         heart.start()
         try:
-            plan = plan_resume(self.store.snapshot_state(self.pipeline), self.store.load_offset(self.pipeline))
+            plan = plan_resume(self.store.snapshot_state(self.pipeline), *(self.store.progress(self.pipeline) or (None, None)))
             self.work(plan, lost)
         except LeaseLost as e:
             self.health.set(self.pipeline, last_error=str(e))

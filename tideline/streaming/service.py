@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import contextlib
+import dataclasses
+import json
 import logging
 import signal
 import sqlite3
 import threading
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Config, Pipeline, SinkConfig
+from ..config import Source as SourceConfig
+from ..model import TRUNCATE, row_key
 from ..sources.base import ReadRequest, build_reader
 from .control import ControlStore
-from .delivery import Delivery, Policy, Router
+from .delivery import Delivery, FrameDelivery, Policy, Router, Stopped
 from .observe import Health, Registry, Server
 from .runner import Resume, Runner, SnapshotHooks, capture_id
-from .sinks import BrokerSink, ProcessSink, Sink, StdoutSink, UpsertSink, WebhookSink, qualified
+from .sinks import BrokerSink, MirrorSink, NatsSink, ProcessSink, Sink, StdoutSink, UpsertSink, WebhookSink, partition_key, topic
 
 log = logging.getLogger("tideline")
 
@@ -26,80 +33,112 @@ def open_store(dsn: str) -> ControlStore:
     return ControlStore(dsn.removeprefix("sqlite://").removeprefix("sqlite:"))
 
 
-def _topic(prefix: str, fixed: str):
-    import re
+def _kafka(c: SinkConfig) -> Sink:
+    try:
+        from kafka import KafkaProducer
+        from kafka.admin import KafkaAdminClient, NewTopic
+    except ImportError as e:
+        raise RuntimeError(f"sink {c.name!r} needs the library kafka-python") from e
 
-    return lambda e: fixed or re.sub("[^A-Za-z0-9._-]", "_", ".".join(x for x in (prefix, e["schema"], e["table"]) if x))
+    class Client:
+        """Waits for all replicas; a topic that isn't there is made first if that is allowed, and is an error otherwise."""
 
+        def __init__(self):
+            self.producer = KafkaProducer(bootstrap_servers=c.kafka.brokers, acks="all", compression_type=c.kafka.compression or None, request_timeout_ms=int(c.kafka.timeout * 1000))
+            self.admin = KafkaAdminClient(bootstrap_servers=c.kafka.brokers)
+            self.known, self.sent = set(self.admin.list_topics()), []
 
-def _subject(prefix: str):
-    import re
+        def publish(self, topic, key, value, headers):
+            if topic not in self.known:
+                if not c.kafka.auto_create_topics:
+                    raise RuntimeError(f"topic {topic!r} does not exist and auto_create_topics is off")
+                self.admin.create_topics([NewTopic(topic, num_partitions=-1, replication_factor=-1)])
+                self.known.add(topic)
+            self.sent.append(self.producer.send(topic, value, key.encode(), [(k, v.encode()) for k, v in headers.items()]))
 
-    clean = lambda x: re.sub("[.*> ]", "_", x)
-    return lambda e: ".".join([prefix, *[clean(x) for x in (e["schema"], e["table"]) if x]])
+        def flush(self):
+            sent, self.sent = self.sent, []
+            for f in sent:
+                f.get(c.kafka.timeout)
 
+        def close(self):
+            self.producer.close()
+            self.admin.close()
 
-def _key(keys: dict[str, list[str]]):
-    def of(e) -> str:
-        cols = keys.get(qualified(e)) or keys.get(e["table"]) or []
-        image = e.get("after") or e.get("before") or {}
-        return "|".join([qualified(e), *["<nil>" if image.get(k) is None else str(image[k]) for k in cols]])
+    return BrokerSink(c.name, Client(), lambda e: topic(c.kafka.topic_prefix, c.kafka.topic, e), lambda e: partition_key(c.kafka.keys, e), encoding=c.encoding)
 
-    return of
 
-
-def _broker(c: SinkConfig) -> Sink:
-    """A client from the library of the broker; both are optional installs."""
-    if c.type == "kafka":
+def _nats(c: SinkConfig, connection) -> Sink:
+    if connection is None:
         try:
-            from kafka import KafkaProducer
+            import asyncio
+
+            import nats
         except ImportError as e:
-            raise RuntimeError(f"sink {c.name!r} needs the library kafka-python") from e
+            raise RuntimeError(f"sink {c.name!r} needs the library nats-py") from e
+
+        class Connection:
+            """The asynchronous client on a thread of its own; publish returns a future."""
 
-        class Client:
             def __init__(self):
-                self.producer, self.sent = KafkaProducer(bootstrap_servers=c.kafka.brokers, acks="all", compression_type=c.kafka.compression or None, request_timeout_ms=int(c.kafka.timeout * 1000)), []
+                self.loop = asyncio.new_event_loop()
+                threading.Thread(target=self.loop.run_forever, daemon=True).start()
+                options = {k: v for k, v in (("token", c.nats.token), ("user_credentials", c.nats.credentials_file)) if v}
+                self.nc = self._run(nats.connect(c.nats.url, **options)).result(float(c.nats.ack_wait))
+                self.js = None if c.nats.core_only else self.nc.jetstream()
 
-            def publish(self, topic, key, value, headers):
-                self.sent.append(self.producer.send(topic, value, key.encode(), [(k, v.encode()) for k, v in headers.items()]))
+            def _run(self, what):
+                return asyncio.run_coroutine_threadsafe(what, self.loop)
 
-            def flush(self):
-                sent, self.sent = self.sent, []
-                for f in sent:
-                    f.get(c.kafka.timeout)
+            def publish(self, subject, payload, headers):
+                return self._run((self.js or self.nc).publish(subject, payload, headers=headers))
+
+            def flush(self, timeout):
+                self._run(self.nc.flush(int(timeout))).result(timeout)
 
             def close(self):
-                self.producer.close()
-
-        return BrokerSink(c.name, Client(), _topic(c.kafka.topic_prefix, c.kafka.topic), _key(c.kafka.keys), encoding=c.encoding)
-    raise RuntimeError(f"sink {c.name!r} needs the library nats-py; pass a client to BrokerSink")
-
-
-def build_sink(c: SinkConfig, nats_client=None) -> Sink:
-    if c.type == "stdout":
-        return StdoutSink(c.name)
-    if c.type == "webhook":
-        if not c.webhook.url:
-            raise ValueError(f"sink {c.name!r} needs webhook.url")
-        return WebhookSink(c.name, c.webhook.url, c.webhook.headers, c.webhook.timeout)
-    if c.type == "process":
-        return ProcessSink(c.name, c.process.command, c.process.dir or None, dict(x.split("=", 1) for x in c.process.env), c.process.timeout, c.process.restart_on_error, c.encoding)
-    if c.type == "pgupsert":
-        dsn = c.pgupsert.dsn
-        if dsn.startswith("sqlite:"):
-            db, mark, now = sqlite3.connect(dsn.removeprefix("sqlite:").removeprefix("//"), check_same_thread=False), "?", "CURRENT_TIMESTAMP"
-        else:
-            try:
-                import psycopg
-            except ImportError as e:
-                raise RuntimeError(f"sink {c.name!r} needs the library psycopg") from e
-            db, mark, now = psycopg.connect(dsn), "%s", "now()"
-        return UpsertSink(c.name, db, c.pgupsert.keys, c.pgupsert.schema or None, c.pgupsert.soft_delete, c.pgupsert.deleted_column, mark, now)
-    if c.type == "nats" and nats_client is not None:
-        return BrokerSink(c.name, nats_client, _subject(c.nats.subject_prefix), encoding=c.encoding)
-    if c.type in ("kafka", "nats"):
-        return _broker(c)
-    raise ValueError(f"unknown sink type {c.type!r}")
+                self._run(self.nc.drain()).result(float(c.nats.ack_wait))
+                self.loop.call_soon_threadsafe(self.loop.stop)
+
+        connection = Connection()
+    return NatsSink(c.name, connection, c.nats.subject_prefix, c.nats.core_only, c.nats.max_pending, float(c.nats.ack_wait), c.encoding)
+
+
+def _upsert(c: SinkConfig) -> Sink:
+    dsn = c.pgupsert.dsn
+    if dsn.startswith("sqlite:"):
+        db, mark, now = sqlite3.connect(dsn.removeprefix("sqlite:").removeprefix("//"), check_same_thread=False), "?", "CURRENT_TIMESTAMP"
+    else:
+        try:
+            import psycopg
+        except ImportError as e:
+            raise RuntimeError(f"sink {c.name!r} needs the library psycopg") from e
+        db, mark, now = psycopg.connect(dsn), "%s", "now()"
+    return UpsertSink(c.name, db, c.pgupsert.keys, c.pgupsert.schema or None, c.pgupsert.soft_delete, c.pgupsert.deleted_column, mark, now)
+
+
+def _webhook(c: SinkConfig) -> Sink:
+    if not c.webhook.url:
+        raise ValueError(f"sink {c.name!r} needs webhook.url")
+    return WebhookSink(c.name, c.webhook.url, c.webhook.headers, c.webhook.timeout)
+
+
+#: Sinks by type.
+SINKS: dict[str, Callable[[SinkConfig], Sink]] = {
+    "stdout": lambda c: StdoutSink(c.name),
+    "webhook": _webhook,
+    "process": lambda c: ProcessSink(c.name, c.process.command, c.process.dir or None, dict(x.split("=", 1) for x in c.process.env), c.process.timeout, c.process.restart_on_error, c.encoding),
+    "pgupsert": _upsert,
+    "kafka": _kafka,
+    "nats": lambda c: _nats(c, None),
+    "mirror": lambda c: MirrorSink(c.name, c.mirror.path, {t: (m.keys, m.columns) for t, m in c.mirror.tables.items()}, c.mirror.buckets),
+}
+
+
+def build_sink(c: SinkConfig, nats_connection=None) -> Sink:
+    if c.type not in SINKS:
+        raise ValueError(f"unknown sink type {c.type!r}")
+    return _nats(c, nats_connection) if c.type == "nats" and nats_connection is not None else SINKS[c.type](c)
 
 
 def build_sinks(configs: list[SinkConfig]) -> list[Sink]:
@@ -114,32 +153,186 @@ def build_sinks(configs: list[SinkConfig]) -> list[Sink]:
 
 
 def policy(c: SinkConfig) -> Policy:
-    return Policy(c.batch_max_events, float(c.retry_initial), float(c.retry_max), c.on_failure == "dead_letter", c.max_attempts)
+    return Policy(c.batch_max_events, float(c.batch_max_wait), c.queue_size, float(c.retry_initial), float(c.retry_max), c.on_failure == "dead_letter", c.max_attempts)
+
+
+def snapshot_wish(source: SourceConfig) -> tuple[bool, str, int]:
+    """(whether a first start reads the tables, how, rows a chunk)."""
+    if source.type in ("postgres", "postgresql"):
+        return source.postgres.snapshot, source.postgres.snapshot_mode, source.postgres.chunk_size
+    if source.type == "mysql":
+        return source.mysql.snapshot, "single", 0
+    if source.type == "changelog":
+        return source.changelog.snapshot, source.changelog.snapshot_mode, source.changelog.chunk_size
+    return source.mongodb.snapshot, "single", 0
+
+
+def split_by_window(rows: DataFrame, window: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows that events of the window change, the others). A truncate changes all; both images of an event count."""
+    if window.where(F.col("op") == TRUNCATE).limit(1).count():
+        return rows, rows.limit(0)
+    changed = window.select(F.explode(F.array_compact(F.array(row_key(keys, "before"), row_key(keys, "after")))).alias("_k")).distinct()
+    d = rows.withColumn("_k", row_key(keys, "after"))
+    return d.join(changed, "_k", "left_semi").drop("_k"), d.join(changed, "_k", "left_anti").drop("_k")
+
+
+class Bootstrap:
+    """Reads a source's tables into all sinks, at one point or in chunks, and says after which event the stream goes on."""
+
+    def __init__(self, spark: SparkSession, reader, router: Router, hooks: SnapshotHooks, over: Callable[[], bool] = lambda: False):
+        self.spark, self.reader, self.router, self.hooks, self.over = spark, reader, router, hooks, over
+
+    def _rows(self, df: DataFrame, cursor: bool = True) -> int:
+        n = df.count()
+        if n:
+            self.router.serve(df, cursor)
+            self.hooks.rows(n)
+        return n
+
+    def single(self, capture: str) -> int:
+        """All tables as they stand at the log's end. It counts as done only once every sink has every row."""
+        position, seq = self.reader.end(self.spark)
+        self.hooks.started(capture, position)
+        tables = self.reader.tables(self.spark)
+        if not tables:
+            raise ValueError("the source names no table to read")
+        for table in tables:
+            if self.over():
+                raise Stopped(table)
+            self._rows(self.reader.snapshot(self.spark, table, seq, position))
+        for d in self.router.deliveries:  # a sink that got no row still stands here
+            self.router.store.advance_cursor(self.router.pipeline, self.router.holder, d.sink.name, position, seq)
+        self.router.commit()
+        self.hooks.completed(position)
+        return seq
+
+    def chunked(self, size: int, at: int, table: str | None = None, key: str | None = None) -> int:
+        """The tables page by page in key order, while the log goes on.
+
+        Around each page stand a low and a high mark, the ends of the log before and after it was read. Every sink gets the events
+        up to the low mark, the rows that the window between the marks changes as the ground for its
+        events, these events, and then the other rows. Only then is the page's last key saved; from there a
+        new leader goes on, at the event that all sinks have.
+        """
+        tables = self.reader.tables(self.spark)
+        names = list(tables)
+        if table is not None and table not in names:
+            log.warning("table %s of the unfinished snapshot is gone; starting anew", table)
+            table = key = None
+        for name in names[names.index(table) if table else 0 :]:
+            after = json.loads(key) if name == table and key else None
+            while True:
+                if self.over():
+                    raise Stopped(name)
+                position, low = self.reader.end(self.spark)
+                page = self.reader.page(self.spark, name, after, size, low, position).persist()
+                n = page.count()
+                top, high = self.reader.end(self.spark)
+                window = self.reader.log(self.spark, low, high)
+                self.router.serve(self.reader.log(self.spark, at, low))
+                ground, rest = split_by_window(page, window, tables[name])
+                self._rows(ground, cursor=False)
+                self.router.serve(window)
+                self._rows(rest.withColumn("seq", F.lit(high).cast("long")).withColumn("position", F.lit(top)))
+                for d in self.router.deliveries:
+                    self.router.store.advance_cursor(self.router.pipeline, self.router.holder, d.sink.name, top, high)
+                at = high
+                self.router.commit()
+                if n:
+                    last = page.select(*[F.col("after")[k].alias(k) for k in tables[name]]).orderBy(*[F.desc(k) for k in tables[name]]).first()
+                    after = list(last)
+                    self.hooks.chunk_accepted(name, json.dumps(after))
+                page.unpersist()
+                if n < size:
+                    break
+        self.hooks.completed()
+        return at
+
+    def begin(self, plan: Resume, wanted: bool, mode: str, size: int, capture: str) -> int:
+        """What the plan asks for; the number of the event after which the stream goes on."""
+        if plan.chunk_table:
+            return self.chunked(size, plan.seq or 0, plan.chunk_table, plan.chunk_key)
+        if not plan.force_bootstrap:
+            return plan.seq or 0
+        if wanted and mode == "chunked":
+            position, seq = self.reader.end(self.spark)
+            self.hooks.started(capture, position)
+            for d in self.router.deliveries:
+                self.router.store.advance_cursor(self.router.pipeline, self.router.holder, d.sink.name, position, seq)
+            self.router.commit()
+            return self.chunked(size, seq)
+        if wanted:
+            return self.single(capture)
+        self.hooks.started(capture)
+        self.hooks.completed()
+        return plan.seq or 0
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def work(spark: SparkSession, p: Pipeline, instance: str, store: ControlStore, metrics: Registry, checkpoint: str, available_now: bool = False):
-    """What a leader does: one streaming query from the resume point into all sinks."""
+    """What a leader does: bootstrap if need be, then one streaming query a sink, and commits beside them."""
 
     def lead(plan: Resume, lost: threading.Event) -> None:
-        reader, sinks = build_reader(p.source), build_sinks(p.sinks)
-        hooks = SnapshotHooks(p.id, instance, store, metrics, p.source.postgres.snapshot_mode)
-        router = Router(p.id, instance, store, [Delivery(p.id, instance, s, store, policy(c), metrics) for s, c in zip(sinks, p.sinks)], getattr(reader, "ack", None), metrics)
-        log.info("leading %s (%s) from %s", p.id, capture_id({"type": p.source.type}), plan.position or "the start")
+        sinks = build_sinks(p.sinks)
+        kind = lambda s: FrameDelivery if isinstance(s, MirrorSink) else Delivery
+        deliveries = [kind(s)(p.id, instance, s, store, policy(c), metrics) for s, c in zip(sinks, p.sinks)]
+        reader = build_reader(p.source)
+        router = Router(p.id, instance, store, deliveries, getattr(reader, "ack", None), metrics)
+        wanted, mode, size = snapshot_wish(p.source)
+        hooks = SnapshotHooks(p.id, instance, store, metrics, mode)
+        capture = capture_id(dataclasses.asdict(p.source))
+        place = f"{checkpoint.rstrip('/')}/{p.id}/{uuid.uuid4().hex}"  # where to start is the control store's word, which is fenced
+        over, queries, committer, failed = threading.Event(), [], None, []
+
+        def watch() -> None:
+            lost.wait()
+            for d in deliveries:
+                d.stop.set()
+
+        threading.Thread(target=watch, daemon=True).start()
         try:
-            stream = reader.read_changes(spark, ReadRequest(plan.position, plan.force_bootstrap, plan.chunk_table, plan.chunk_key, hooks))
-            # Each term has a checkpoint of its own: where to start is the control store's word, which is fenced.
-            place = f"{checkpoint.rstrip('/')}/{p.id}/{instance}-{threading.get_ident()}-{plan.position or 0}".replace(" ", "_")
-            q = stream.writeStream.foreachBatch(router.foreach_batch).option("checkpointLocation", place)
-            q = (q.trigger(availableNow=True) if available_now else q.trigger(processingTime=f"{max(p.commit_interval, 0.05)} seconds")).start()
-            try:
-                while not lost.wait(0.1) and q.isActive:
-                    pass
-                if not lost.is_set() and q.exception():
-                    raise RuntimeError(str(q.exception()))
-            finally:
-                q.stop()
+            start = Bootstrap(spark, reader, router, hooks, lost.is_set).begin(plan, wanted, mode, size, capture)
+            log.info("leading %s (%s) after event %s", p.id, capture, start)
+            own = {name: seq for name, _, seq in store.cursors(p.id)}
+
+            def commit() -> None:
+                try:
+                    router.commit_until(over, max(float(p.commit_interval), 0.05))
+                except Exception as e:  # noqa: BLE001  raised by the leader
+                    failed.append(e)
+
+            committer = threading.Thread(target=commit, daemon=True)
+            committer.start()
+            for d in deliveries:
+                # A reader of its own: what it remembers between batches is this query's. A sink ahead of the others stays ahead.
+                r = build_reader(p.source)
+                stream = r.read_changes(spark, ReadRequest(seq=max(start, own.get(d.sink.name, 0))))
+                q = stream.writeStream.queryName(f"{p.id}/{d.sink.name}/{uuid.uuid4().hex[:8]}").foreachBatch(lambda df, i, d=d, r=r: d.foreach_batch(r.decode(df), i)).option("checkpointLocation", f"{place}/{d.sink.name}")
+                queries.append((q.trigger(availableNow=True) if available_now else q.trigger(processingTime=f"{max(p.commit_interval, 0.05)} seconds")).start())
+            while not lost.wait(0.1) and not failed and any(q.isActive for q in queries) and not any(q.exception() for q in queries):
+                pass
+            if not lost.is_set():
+                broken = [q.exception() for q in queries if q.exception()]
+                if failed or broken:
+                    raise failed[0] if failed else RuntimeError(str(broken[0]))
+        except Stopped:
+            if not lost.is_set():
+                raise
         finally:
+            for d in deliveries:
+                d.stop.set()
+            for q in queries:
+                q.stop()
+            over.set()
+            if committer:
+                committer.join()  # with the last commit
             router.close()
+            if queries:
+                _delete(spark, place)
 
     return lead
 

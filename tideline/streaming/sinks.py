@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import queue
+import re
 import subprocess
 import sys
 import threading
@@ -26,25 +29,34 @@ class Sink(Protocol):
     def close(self) -> None: ...
 
 
+#: Where the log's own encoding of an event travels with it: see functions.encoding.
+PAYLOAD = "payload"
+
+
 def _time(ts: datetime | None) -> str:
+    """RFC 3339; a time without zone is taken as UTC."""
     if ts is None:
         return "0001-01-01T00:00:00Z"
-    ts = ts.replace(tzinfo=None) if ts.tzinfo is None else ts.astimezone(timezone.utc).replace(tzinfo=None)
-    text = ts.strftime("%Y-%m-%dT%H:%M:%S.%f")
-    return text.rstrip("0").rstrip(".") + "Z"
+    ts = ts if ts.tzinfo is None else ts.astimezone(timezone.utc).replace(tzinfo=None)
+    return ts.strftime("%Y-%m-%dT%H:%M:%S.%f").rstrip("0").rstrip(".") + "Z"
 
 
-def plain(event: Event) -> dict:
-    """The event as JSON-ready values: images with sorted keys, empty ones left out."""
+def to_json(event: Event) -> str:
+    """The event as json_event wrote it in the JVM; an event that doesn't come from a stream is written by the same rules."""
+    if isinstance(event.get(PAYLOAD), str):
+        return event[PAYLOAD]
     out = {k: event[k] for k in ("source_id", "schema", "table", "op")}
-    for k in ("before", "after"):
-        if event.get(k):
-            out[k] = dict(sorted(event[k].items()))
-    return out | {"position": event["position"], "commit_ts": _time(event.get("commit_ts"))}
+    out |= {k: dict(sorted(event[k].items())) for k in ("before", "after") if event.get(k)}
+    out |= {"position": event["position"], "commit_ts": _time(event.get("commit_ts"))}
+    text = json.dumps(out, ensure_ascii=False, separators=(",", ":"), default=str)
+    return text.replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
 
 
-def to_json(event: Event) -> str:
-    return json.dumps(plain(event), ensure_ascii=False, separators=(",", ":"), default=str)
+def to_bytes(event: Event, encoding: str) -> bytes:
+    if encoding == "json":
+        return to_json(event).encode()
+    found = event.get(PAYLOAD)
+    return bytes(found) if isinstance(found, (bytes, bytearray)) else encode_message(dict(event))
 
 
 def qualified(event: Event) -> str:
@@ -60,6 +72,11 @@ def batch_id(events: Sequence[Event]) -> str:
     return f"{events[0]['source_id']}|{events[0]['position']}|{events[-1]['position']}"
 
 
+def _with_events(head: dict, events: Sequence[str]) -> str:
+    """head as a JSON object, and a list of JSON texts as its last field."""
+    return json.dumps(head, ensure_ascii=False)[:-1] + ', "events": [' + ",".join(events) + "]}"
+
+
 class StdoutSink:
     """One JSON line per event; lines of several threads don't mix."""
 
@@ -87,9 +104,10 @@ class WebhookSink:
     def write(self, events: Sequence[Event]) -> None:
         if not events:
             return
-        body = {"source_id": events[0]["source_id"], "count": len(events), "first_position": events[0]["position"], "last_position": events[-1]["position"], "events": [plain(e) for e in events]}
+        head = {"source_id": events[0]["source_id"], "count": len(events), "first_position": events[0]["position"], "last_position": events[-1]["position"]}
+        body = _with_events(head, [to_json(e) for e in events])
         headers = {"Content-Type": "application/json", "Idempotency-Key": batch_id(events)} | self.headers
-        request = urllib.request.Request(self.url, json.dumps(body, ensure_ascii=False, default=str).encode(), headers, method="POST")
+        request = urllib.request.Request(self.url, body.encode(), headers, method="POST")
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
                 if not 200 <= r.status < 300:
@@ -141,15 +159,10 @@ class ProcessSink:
             return
         if self.child is None or self.child.poll() is not None:
             self._start()
-        if self.encoding == "json":
-            items = [plain(e) for e in events]
-        else:
-            import base64
-
-            items = [base64.b64encode(encode_message(dict(e))).decode() for e in events]
-        request = {"batch_id": batch_id(events), "count": len(events), "events": items}
+        binary = lambda e: json.dumps(base64.b64encode(to_bytes(e, self.encoding)).decode())
+        request = _with_events({"batch_id": batch_id(events), "count": len(events)}, [to_json(e) if self.encoding == "json" else binary(e) for e in events])
         try:
-            self.child.stdin.write(json.dumps(request, ensure_ascii=False, default=str) + "\n")
+            self.child.stdin.write(request + "\n")
             self.child.stdin.flush()
             line = self.answers.get(timeout=self.timeout)
         except queue.Empty:
@@ -236,18 +249,54 @@ class UpsertSink:
         self.db.close()
 
 
+def message_id(event: Event) -> str:
+    """What tells an event from every other: the idempotency key, the op, the row and the log number.
+
+    Rows of a snapshot, chunk or transaction share a position, so a broker that drops repeats of the bare
+    idempotency key would drop rows; an event that is sent again keeps its log number.
+    """
+    image = event.get("after") or event.get("before") or {}
+    row = ",".join(f"{k}={v}" for k, v in sorted(image.items()))
+    return "|".join([idempotency_key(event), event["op"], hashlib.sha256(row.encode()).hexdigest()[:16], str(event["seq"])])
+
+
+class MirrorSink:
+    """Mirrors of tables kept as versioned Parquet (streaming.mirror), folded where the frames lie. Events of other tables pass."""
+
+    def __init__(self, name: str, path: str, tables: Mapping[str, tuple[Sequence[str], Mapping[str, str]]], buckets: int = 16):
+        if not path or not tables:
+            raise ValueError(f"mirror sink {name} needs a path and tables")
+        self.name, self.path, self.tables, self.buckets = name, path.rstrip("/"), dict(tables), buckets
+
+    def mirror(self, spark, table: str):
+        from .mirror import Mirror
+
+        keys, columns = self.tables[table]
+        return Mirror(spark, f"{self.path}/{table}", keys, columns, self.buckets)
+
+    def write(self, frame) -> None:
+        from ..model import qualified as name
+
+        for table in self.tables:
+            self.mirror(frame.df.sparkSession, table).apply(frame.df.where(name() == table))
+
+    def close(self) -> None:
+        pass
+
+
 class BrokerSink:
     """Messages for a broker through a client's publish(topic, key, value, headers) and flush()."""
 
-    def __init__(self, name: str, client, topic, key=None, message_id=idempotency_key, encoding: str = "json", header_prefix: str = "tideline"):
+    def __init__(self, name: str, client, topic, key=None, encoding: str = "json", header_prefix: str = "tideline", id_header: str | None = None):
         encoder(encoding)
-        self.name, self.client, self.topic, self.key, self.message_id = name, client, topic, key, message_id
+        self.name, self.client, self.topic, self.key, self.id_header = name, client, topic, key, id_header
         self.encoding, self.prefix = encoding, header_prefix
 
     def message(self, e: Event) -> dict:
-        value = to_json(e).encode() if self.encoding == "json" else encode_message(dict(e))
-        headers = {f"{self.prefix}-op": e["op"], f"{self.prefix}-source": e["source_id"], f"{self.prefix}-position": e["position"], "idempotency-key": self.message_id(e), "content-type": CONTENT_TYPES[self.encoding]}
-        return {"topic": self.topic(e), "key": self.key(e) if self.key else None, "value": value, "headers": headers}
+        headers = {f"{self.prefix}-op": e["op"], f"{self.prefix}-source": e["source_id"], f"{self.prefix}-position": e["position"], "idempotency-key": idempotency_key(e), "content-type": CONTENT_TYPES[self.encoding]}
+        if self.id_header:
+            headers[self.id_header] = message_id(e)
+        return {"topic": self.topic(e), "key": self.key(e) if self.key else None, "value": to_bytes(e, self.encoding), "headers": headers}
 
     def write(self, events: Sequence[Event]) -> None:
         """Publish all, then wait for all; one that isn't acknowledged fails the batch."""
@@ -259,3 +308,64 @@ class BrokerSink:
         close = getattr(self.client, "close", None)
         if close:
             close()
+
+
+#: Fixed value: the header by which the broker knows a repeated message.
+NATS_ID = "Nats-Msg-Id"
+
+
+class NatsSink(BrokerSink):
+    """Messages on NATS subjects over a connection.
+
+    With a stream, up to max_pending messages wait for their acknowledgements at a time, each
+    ack_wait seconds at most, and one that doesn't come fails the batch. In core mode there are none: a batch
+    counts once the server has taken all that was written (flush), so it may be lost there.
+    The connection: publish(subject, payload, headers) returns a future with a stream and nothing
+    in core mode; flush(timeout).
+    """
+
+    def __init__(self, name: str, connection, prefix: str = "", core_only: bool = False, max_pending: int = 256, ack_wait: float = 30, encoding: str = "json"):
+        super().__init__(name, connection, lambda e: subject(prefix, e), None, encoding, id_header=NATS_ID)
+        self.core, self.max_pending, self.ack_wait = core_only, max_pending, ack_wait
+
+    def write(self, events: Sequence[Event]) -> None:
+        pending: list = []
+        for e in events:
+            m = self.message(e)
+            sent = self.client.publish(m["topic"], m["value"], m["headers"])
+            if not self.core:
+                pending.append((e["position"], sent))
+                if len(pending) >= self.max_pending:
+                    self._acknowledged(pending)
+        self._acknowledged(pending)
+        if self.core:
+            self.client.flush(self.ack_wait)
+
+    def _acknowledged(self, pending: list) -> None:
+        missing = []
+        for position, sent in pending:
+            try:
+                sent.result(self.ack_wait)
+            except Exception as e:  # noqa: BLE001  whatever keeps an acknowledgement away
+                missing.append(f"{position}: {e or type(e).__name__}")
+        pending.clear()
+        if missing:
+            raise RuntimeError(f"nats {self.name}: {len(missing)} messages without acknowledgement, first {missing[0]}")
+
+
+def subject(prefix: str, event: Event) -> str:
+    """prefix.schema.table; characters with a meaning in subjects become '_' in the last two."""
+    clean = [re.sub("[.*> ]", "_", event[k]) for k in ("schema", "table") if event[k]]
+    return ".".join([prefix, *clean] if prefix else clean)
+
+
+def topic(prefix: str, fixed: str, event: Event) -> str:
+    """The fixed topic if there is one, else prefix.schema.table in the characters a topic may have."""
+    return fixed or re.sub("[^A-Za-z0-9._-]", "_", ".".join(x for x in (prefix, event["schema"], event["table"]) if x))
+
+
+def partition_key(keys: Mapping[str, Sequence[str]], event: Event) -> str:
+    """table|key|...; a value that is missing or NULL reads <nil>."""
+    cols = keys.get(qualified(event)) or keys.get(event["table"]) or []
+    image = event.get("after") or event.get("before") or {}
+    return "|".join([qualified(event), *["<nil>" if image.get(k) is None else str(image[k]) for k in cols]])
