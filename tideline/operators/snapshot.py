@@ -74,7 +74,8 @@ def keyless(tables: DataFrame) -> DataFrame:
 def keyset_page(state: DataFrame, keys: Sequence[str], after: Sequence | None, size: int) -> DataFrame:
     """The next `size` rows in key order after a key, for one step of a resumable walk."""
     if after is not None:
-        state = state.where(F.struct(*keys) > F.struct(*[F.lit(v) for v in after]))
+        kinds = [f.dataType for f in state.select(*keys).schema.fields]
+        state = state.where(F.struct(*keys) > F.struct(*[F.lit(v).cast(t) for v, t in zip(after, kinds)]))
     return state.orderBy(*keys).limit(size)
 
 

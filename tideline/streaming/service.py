@@ -250,6 +250,7 @@ class Bootstrap:
 
     def begin(self, plan: Resume, wanted: bool, mode: str, size: int, capture: str) -> int:
         """What the plan asks for; the number of the event after which the stream goes on."""
+        self.hooks.mode = mode
         if plan.chunk_table:
             return self.chunked(size, plan.seq or 0, plan.chunk_table, plan.chunk_key)
         if not plan.force_bootstrap:
