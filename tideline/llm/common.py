@@ -9,8 +9,21 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Stands for a null document id wherever ids are compared; it sorts last.
-NO_ID = 2**63 - 1
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df (in any case) is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text from two seeds; a null text has those of none."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
 def shared_dir(spark: SparkSession) -> str:

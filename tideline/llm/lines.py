@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, drop, saved
+from .common import drop, free, saved, text_key
 
 #: Log2 of the buckets of a HyperLogLog sketch; its relative standard error is about 1.04 / sqrt(2 ** LG_K).
 LG_K = 12
@@ -19,10 +19,11 @@ def _key(line: Column) -> tuple[Column, Column]:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """One row per line that holds more than white space: (id, th, pos, h1, h2, site)."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line"))
+    """One row per line that holds more than white space: (id, t1, t2, pos, h1, h2, site)."""
+    t1, t2 = text_key(F.col(text_col))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line"))
     h1, h2 = _key(F.col("line"))
-    return d.where(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "").select("id", "th", "pos", h1.alias("h1"), h2.alias("h2"), "site")
+    return d.where(F.trim("line", F.lit(" \t\r\x0b\x0c")) != "").select("id", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"), "site")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = 6, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -54,19 +55,23 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 6, id_col: str = "doc_i
     holds it, so nothing is lost altogether. Lines are the pieces between line feeds and
     compared exactly; lines of white space only are never boilerplate. Texts that lose
     nothing come back as they were (null stays null, with no lines; '' has one). Rows
-    that repeat get equal results, null ids sort last, and an empty table stays empty.
-    Columns named n_lines or n_removed are replaced.
+    that repeat get equal results, null ids sort last (rows without id count as one
+    document), and an empty table stays empty.
+    Columns named n_lines or n_removed are replaced; others may have any name.
     """
     bad = boilerplate(docs, min_sites, id_col, text_col, site_col)
     small = bad.count() <= BROADCAST_ROWS
-    hits = _lines(docs, id_col, text_col, site_col).join(F.broadcast(bad) if small else bad, ["h1", "h2"]).where("id <> first_id")
-    gone = hits.groupBy("id", "th").agg(F.collect_set("pos").alias("_gone"))
+    i, p1, p2, gone = free(docs, "id", "t1", "t2", "gone")
+    hits = _lines(docs, id_col, text_col, site_col).join(F.broadcast(bad) if small else bad, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
+    # Rows of one text lose the same lines but where one of them keeps a line as the first to hold it.
+    cut_at = saved(hits.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone")), "line-cuts")
+    side = cut_at.select(F.col("id").alias(i), F.col("t1").alias(p1), F.col("t2").alias(p2), F.col("gone").alias(gone))
     own = docs.drop("n_lines", "n_removed")
-    d = own.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("_th", F.xxhash64(text_col))
-    d = d.join(gone.withColumnRenamed("id", "_id").withColumnRenamed("th", "_th"), ["_id", "_th"], "left")
+    t1, t2 = text_key(F.col(text_col))
+    d = own.join(F.broadcast(side) if cut_at.count() <= BROADCAST_ROWS // 8 else side, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (t1 == F.col(p1)) & (t2 == F.col(p2)), "left")
     parts = F.split(text_col, "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    cut = F.array_join(F.transform(rest, lambda i: F.get(parts, i)), "\n")
+    rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
+    cut = F.array_join(F.transform(rest, lambda k: F.get(parts, k)), "\n")
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(F.regexp_replace(text_col, "[^\n]", "")) + 1).cast("long")
-    lost = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
-    return d.select(*[F.when(F.col("_gone").isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own.columns], n.alias("n_lines"), lost.alias("n_removed"))
+    lost = F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    return d.select(*[F.when(F.col(gone).isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own.columns], n.alias("n_lines"), lost.alias("n_removed"))

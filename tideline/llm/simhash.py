@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, drop, saved
+from .common import drop, saved
 from .graph import components
 
 BITS, BANDS = 64, 4
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     rows give repeated results; an empty table gives no rows; other columns are ignored.
     """
     prints = saved(fingerprints(docs, words, id_col, text_col), "simhash-docs")
-    nodes = saved(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "simhash-nodes")
+    nodes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     edges = saved(links(nodes.select("fp"), radius).distinct(), "simhash-links")
     roots = components(edges)
     # The root of a component is a fingerprint; its id is the least over its members.
@@ -190,4 +190,4 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     ids = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     comp = placed.join(ids, "root").select("fp", "component_id")
     drop(edges)
-    return prints.join(comp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") != NO_ID, F.col("component_id")).alias("component_id"))
+    return prints.join(comp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, release, saved
+from .common import release, saved
 
 #: Anchor lengths, each used on what the one before left in groups of over GROUP runs.
 ANCHORS = (40, 88, 100)
@@ -31,6 +31,9 @@ HOT, SAMPLE = 2048, 32
 #: Bytes of text that are hashed at once, and of run text in a shard.
 BLOCK, SHARD = 1 << 20, 1 << 20
 
+#: Stands for a null id in comparisons, so null ids come last, level with a real id of this value.
+LAST = 2**63 - 1
+
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 ROWS = "kind int, key long, content long, id long, tag long, start long, n int"
@@ -436,11 +439,12 @@ def _fetch(width: int, k: int) -> Callable:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, tag, text as bytes): tag tells rows of one id apart, and is 0 while ids are unique."""
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """(id, nameless, tag, text as bytes): tag tells rows of one id apart, and is 0 while ids are unique."""
+    own = F.col(id_col).cast("long")
+    d = docs.select(F.coalesce(own, F.lit(LAST)).alias("id"), own.isNull().alias("nameless"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     unique = d.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
     tag: Column = F.lit(0).cast("long") if unique else F.xxhash64("text")
-    return d.select("id", tag.alias("tag"), F.col("text").cast("binary").alias("text"))
+    return d.select("id", "nameless", tag.alias("tag"), F.col("text").cast("binary").alias("text"))
 
 
 def repeated_spans(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -489,7 +493,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, text, cuts_ in zip(b["id"].to_pylist(), b["text"], b["cuts"].to_pylist()):
+            for i, nameless, text, cuts_ in zip(b["id"].to_pylist(), b["nameless"].to_pylist(), b["text"], b["cuts"].to_pylist()):
                 raw = text.as_py()
                 kept, at, removed, n = [], 0, 0, 0
                 until = -1
@@ -504,9 +508,9 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
                         at = until = e
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                rows.append((None if i == NO_ID else i, len(raw), removed, n, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
+                rows.append((None if nameless else i, len(raw), removed, n, hashlib.sha256(left).hexdigest(), *([left] if with_text else [])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names) if rows else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names=names)
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
-    return _keyed(docs, id_col, text_col).join(cuts, ["id", "tag"], "left").select("id", "text", "cuts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return _keyed(docs, id_col, text_col).join(cuts, ["id", "tag"], "left").select("id", "nameless", "text", "cuts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
