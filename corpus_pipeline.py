@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import decontaminate, langid, lines, packing, similar
-from tideline.llm.common import NO_ID, saved
+from tideline.llm.common import free, saved, text_key
 from tideline.llm.queries import train_language_model
 
 #: A prediction must score more than this to be kept. The score is the product of two probabilities, of the family and of
@@ -37,11 +37,12 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Pairs that similar differ in some 10 of 64 SimHash bits, too many for bands, so they are found by their shingles.
     """
     groups = similar.near_copies(docs.select("doc_id", "text"))
-    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
-    first = groups.groupBy("component").agg(F.min(row).alias("row")).select("row.*")
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit(7), "text"))
-    kept = named.join(first.withColumnRenamed("id", "_id"), ["_id", "_h1", "_h2"], "left_semi")
-    return kept.dropDuplicates(["_id", "_h1", "_h2"]).select(*docs.columns)
+    first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("row"))
+    i, h1, h2 = free(docs, "id", "h1", "h2")
+    side = first.select(F.col("row.doc_id").alias(i), F.col("row.h1").alias(h1), F.col("row.h2").alias(h2))
+    t1, t2 = text_key(F.col("text"))
+    kept = docs.withColumns({h1: t1, h2: t2}).join(side.withColumnsRenamed({h1: f"{h1}_", h2: f"{h2}_"}), F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h1) == F.col(f"{h1}_")) & (F.col(h2) == F.col(f"{h2}_")), "left_semi")
+    return kept.dropDuplicates(["doc_id", h1, h2]).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
