@@ -16,6 +16,10 @@ from .graph import components
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Pairs that a task holds before it hands them on.
 HELD = 1 << 20
+#: Texts of a shingle that all its others are compared with first.
+PIVOTS = 4
+#: Longs of the sketch that travels with a prefix shingle.
+SHORT = 4
 BROADCAST_ROWS = 200_000
 
 
@@ -58,6 +62,18 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def short_sketch(found: np.ndarray) -> np.ndarray:
+    """Parities by the low 8 bits of the hashes, as SHORT longs."""
+    odd = np.bincount((found & np.uint64(64 * SHORT - 1)).astype(np.int64), minlength=64 * SHORT) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differ(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether short sketches (rows of a and b) of sets of m and n shingles show that they differ in too many."""
+    odd = np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return odd > m + n - 2 * ((4 * (m + n) + 8) // 9)
+
+
 def may_match(x: bytes, m: int, y: bytes, n: int) -> bool:
     """False only if sets of m and n shingles with these sketches differ in too many for similarity 0.8."""
     a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
@@ -72,19 +88,24 @@ def may_match(x: bytes, m: int, y: bytes, n: int) -> bool:
     return (a ^ b).bit_count() <= m + n - 2 * -(-4 * (m + n) // 9)
 
 
-def pairs(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, reach: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one prefix shingle whose set sizes and places allow similarity 0.8; rows are sorted by (h, n).
+def _fit(n: np.ndarray, pos: np.ndarray, short: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether set sizes, places of the shingle and short sketches of rows i and j allow similarity 0.8."""
+    least = np.minimum(n[i], n[j])
+    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+    ok = (5 * least >= 4 * np.maximum(n[i], n[j])) & (9 * most >= 4 * (n[i] + n[j]))
+    ok[ok] = ~_differ(short[i[ok]], short[j[ok]], n[i[ok]], n[j[ok]])
+    return ok
 
-    Rows of one known component make no pair; a reach pairs rows at most that far apart only.
-    """
+
+def pairs(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, short: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one prefix shingle and of different known components that may be similar; rows are sorted by (h, n)."""
     i, d, held, u, v = np.arange(len(h)), 1, 0, [], []
-    while len(i) and (not reach or d <= reach):
+    while len(i):
         i = i[i + d < len(h)]
         i = i[(h[i] == h[i + d]) & (5 * n[i] >= 4 * n[i + d])]
-        j = i + d
-        most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-        ok = (9 * most >= 4 * (n[i] + n[j])) & (comp[i] != comp[j])
-        a, b = node[i[ok]], node[j[ok]]
+        apart = i[comp[i] != comp[i + d]]
+        ok = apart[_fit(n, pos, short, apart, apart + d)]
+        a, b = node[ok], node[ok + d]
         u.append(np.minimum(a, b))
         v.append(np.maximum(a, b))
         held, d = held + len(a), d + 1
@@ -95,6 +116,21 @@ def pairs(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp:
         yield np.concatenate(u), np.concatenate(v)
 
 
+def pivot_pairs(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each row with the first PIVOTS rows of its shingle that may be similar; rows are sorted by h, the most central first."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    u, v = [], []
+    for k in range(PIVOTS):
+        i = np.flatnonzero(first + k < np.arange(len(h)))
+        i = i[_fit(n, pos, short, i, first[i] + k)]
+        a, b = node[i], node[first[i] + k]
+        u.append(np.minimum(a, b))
+        v.append(np.maximum(a, b))
+    return np.concatenate(u), np.concatenate(v)
+
+
 def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h1, h2, component), one row per row of docs; h1 and h2 hash the text, rows of one component are near copies.
 
@@ -102,7 +138,9 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     white space, A-Z lowered) is 0.8 or more; components are closed over links. No link is
     lost: sets that similar share one of their rarest 20 % of shingles in any one order of
     all shingles, and each pair that does is compared by all its shingles, unless parities
-    of their hashes show already that too many differ, or other links join the two. The sample of
+    of their hashes show already that too many differ, or other links join the two. Texts that share a shingle are first compared
+    with the few of them that hold most frequent shingles (an original, where most others are edited copies of it), and pairs
+    that these links have joined are left out of the rest. The sample of
     frequent shingles only sets that order. Texts of equal words are one node; null texts
     and texts without a word are equal. An empty table gives no rows; other columns are
     ignored.
@@ -134,27 +172,41 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     known = docs.sparkSession.sparkContext.broadcast((names[order], counts[order]))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = known.value[0]
         for b in batches:
             parts = [words_of(t) for t in b["text"]]
             found = [shingles(p, words) for p in parts]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "k": [key(p) for p in parts], "n": np.fromiter(map(len, found), np.int64, len(found)), "prefix": [prefix(f, *known.value).view(np.int64) for f in found], "sketch": [sketch(f) for f in found]})
+            central = [int(1000 * np.isin(f, names).mean()) if len(f) and len(names) else 0 for f in found]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "k": [key(p) for p in parts], "n": np.fromiter(map(len, found), np.int64, len(found)), "central": central, "prefix": [prefix(f, *known.value).view(np.int64) for f in found], "sketch": [sketch(f) for f in found], "short": [short_sketch(f) for f in found]})
 
-    rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, prefix array<long>, sketch binary"), "near-docs")
-    nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "near-nodes")
+    rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>"), "near-docs")
+    nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "central", "prefix", "sketch", "short")], F.count("*").alias("copies")), "near-nodes")
+    shorts = [f"s{i}" for i in range(SHORT)]
+    arrays = lambda b: (b["h"].to_numpy(), b["node"].to_numpy(), b["n"].to_numpy(np.int64), b["pos"].to_numpy(np.int64))
 
-    def meet(batches: Iterator[pd.DataFrame], reach: int) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
             h = b["h"].to_numpy()
             cut = int(np.argmax(h == h[-1])) if len(h) else 0  # rows of the last shingle may go on in the next batch
             rest, b = b.iloc[cut:].reset_index(drop=True), b.iloc[:cut]
-            yield from couples(b, reach)
+            yield from couples(b)
         if rest is not None:
-            yield from couples(rest, reach)
+            yield from couples(rest)
 
-    def couples(b: pd.DataFrame, reach: int) -> Iterator[pd.DataFrame]:
-        for u, v in pairs(*(b[c].to_numpy(np.int64) for c in ("h", "node", "n", "pos", "comp")), reach):
+    def couples(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for u, v in pairs(*arrays(b), b["comp"].to_numpy(), b[shorts].to_numpy(np.int64)):
+            yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
+
+    def meet_pivots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the pivots of the last shingle, which may go on in the next batch
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            u, v = pivot_pairs(*arrays(b), b[shorts].to_numpy(np.int64))
+            held = b[b["h"] == b["h"].iloc[-1]].iloc[:PIVOTS]
             yield pd.DataFrame({"u": u, "v": v}).drop_duplicates()
 
     node = F.conv(F.hex(F.substring("k", 1, 8)), 16, -10).cast("long")
@@ -172,9 +224,9 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
                 keep.append(9 * same >= 4 * (m + n))
             yield b.loc[keep, ["u", "v"]]
 
-    def linked(placed: DataFrame, reach: int) -> DataFrame:
-        spread = placed.select(node.alias("node"), "n", "comp", F.posexplode("prefix").alias("pos", "h"))
-        met = saved(spread.repartition(F.col("h")).sortWithinPartitions("h", "n", "node").mapInPandas(lambda b: meet(b, reach), "u long, v long").distinct(), "near-met")
+    def linked(placed: DataFrame, by: list, how) -> DataFrame:
+        spread = placed.select(node.alias("node"), "n", "comp", "central", "copies", *[F.col("short")[i].alias(c) for i, c in enumerate(shorts)], F.posexplode("prefix").alias("pos", "h"))
+        met = saved(spread.repartition(F.col("h")).sortWithinPartitions("h", *by, "node").mapInPandas(how, "u long, v long").distinct(), "near-met")
         one = nodes.select(node.alias("u"), F.col("n").alias("m"), F.col("sketch").alias("a"))
         two = nodes.select(node.alias("v"), "n", F.col("sketch").alias("b"))
         maybe = saved(met.join(one, "u").join(two, "v").mapInPandas(rough, "u long, v long").distinct(), "near-pairs")
@@ -192,11 +244,10 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
         drop(met, maybe, reps, full)
         return edges
 
-    # Neighbours first: what they join needs no more pairs, so a large group of near copies doesn't meet pair by pair.
-    near = linked(nodes.withColumn("comp", node), 1)
+    near = linked(nodes.withColumn("comp", node), [F.desc("central"), F.desc("copies")], meet_pivots)
     known_roots = components(near).withColumnRenamed("node", "k")
     placed = nodes.join(known_roots, "k", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "k"))).drop("root")
-    rest = linked(saved(placed, "near-placed"), 0)
+    rest = linked(saved(placed, "near-placed"), ["n"], meet)
     edges = near.unionByName(rest)
     roots = components(edges)
     drop(near, rest)
