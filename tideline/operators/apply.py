@@ -139,9 +139,8 @@ def violations(keys: Mapping[str, Sequence[str]], schemas: Mapping[str, Sequence
     return out
 
 
-def snapshot_events(state: DataFrame, keys: Sequence[str], source_id: str, schema: str, table: str, position: str, seq: int) -> DataFrame:
-    """Rows of a table as read events at a consistent point; commit_ts is null."""
-    skip = {"last_seq"}
-    cols = [c for c in state.columns if c not in skip]
+def snapshot_events(state: DataFrame, keys: Sequence[str], source_id: str, schema: str, table: str, position: str, seq: int | Column, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a table as read events at a consistent point, or each at a log number of its own; commit_ts is null."""
+    cols = columns or [c for c in state.columns if c != "last_seq"]
     after = F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*[F.col(c).cast("string") for c in cols]))
     return state.select(F.lit(seq).cast("long").alias("seq"), F.lit(source_id).alias("source_id"), F.lit(schema).alias("schema"), F.lit(table).alias("table"), F.lit(READ).alias("op"), F.lit(None).cast("map<string,string>").alias("before"), after.alias("after"), F.lit(position).alias("position"), F.lit(None).cast("timestamp").alias("commit_ts"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..model import TRUNCATE, row_key
 
-#: Chunks up to which their marks are broadcast, and log numbers to a range beyond that.
-FEW_CHUNKS, RANGE = 100_000, 1 << 16
+#: Chunks up to which their marks are broadcast; beyond that, log numbers to a range that windows are listed in, and ranges that points are dealt into.
+FEW_CHUNKS, RANGE, RANGES = 2_000, 1 << 16, 4096
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -84,7 +84,7 @@ def _key_of(keys: Sequence[str], kinds: Mapping[str, str], image: str) -> list[C
 
 
 def _in_windows(points: DataFrame, windows: DataFrame, low: str | None, high: str) -> DataFrame:
-    """points (seq) by the windows (chunk, low, high] that hold them; low None: from the beginning, and only the last point of each.
+    """points (seq) by the windows (chunk, low, high] that hold them; low None: from the beginning, and of many windows only the last point of each.
 
     Few windows are broadcast. More meet the points by ranges of log numbers: a window is listed in the ranges it touches.
     """
@@ -92,20 +92,28 @@ def _in_windows(points: DataFrame, windows: DataFrame, low: str | None, high: st
     if bounds.count() <= FEW_CHUNKS:
         inside = (F.col("seq") <= F.col(high)) & ((F.col("seq") > F.col(low)) if low else F.lit(True))
         return points.join(F.broadcast(bounds), inside)
-    spread = bounds.withColumn("_range", F.explode(F.sequence(F.floor(F.col(low) / RANGE) if low else F.floor(F.col(high) / RANGE), F.floor(F.col(high) / RANGE))))
-    inside = (F.col("seq") <= F.col(high)) & ((F.col("seq") > F.col(low)) if low else F.lit(True))
-    met = points.withColumn("_range", F.floor(F.col("seq") / RANGE)).join(spread, "_range").where(inside).drop("_range")
-    if low:
-        return met
-    # Before the window's own range only the last point counts: that of the last range with one.
-    last = points.groupBy(F.floor(F.col("seq") / RANGE).alias("_p")).agg(F.max("seq").alias("seq"))
-    group = F.floor(F.col("_p") / RANGE)
-    so_far = last.withColumn("seq", F.max("seq").over(Window.partitionBy(group).orderBy("_p"))).withColumn("_pg", group)
-    tops = last.groupBy(group.alias("_g")).agg(F.max("seq").alias("_top")).withColumn("_top", F.max("_top").over(Window.orderBy("_g")))
-    ranges = spread.withColumn("_g", F.floor(F.col("_range") / RANGE))
-    near = ranges.join(so_far, (F.col("_pg") == F.col("_g")) & (F.col("_p") < F.col("_range"))).groupBy("chunk", high).agg(F.max("seq").alias("seq"))
-    far = ranges.join(F.broadcast(tops.withColumn("_g", F.col("_g") + 1)), "_g").select("chunk", high, F.col("_top").alias("seq"))
-    return met.select("seq", "chunk", high).unionByName(near.select("seq", "chunk", high)).unionByName(far.select("seq", "chunk", high))
+    if low is None:
+        return _last_before(points, bounds, high)
+    spread = bounds.withColumn("_range", F.explode(F.sequence(F.floor(F.col(low) / RANGE), F.floor(F.col(high) / RANGE))))
+    return points.withColumn("_range", F.floor(F.col("seq") / RANGE)).join(spread, "_range").where((F.col("seq") > F.col(low)) & (F.col("seq") <= F.col(high))).drop("_range")
+
+
+def _last_before(points: DataFrame, bounds: DataFrame, high: str) -> DataFrame:
+    """(chunk, high, seq): the last point up to each bound, where there is one.
+
+    Points lie in at most RANGES ranges: a bound meets those of its own by an equi-join, and the last one of
+    each range in an array that is broadcast.
+    """
+    least, most = points.agg(F.min("seq"), F.max("seq")).first()
+    if least is None:
+        return bounds.select("chunk", high, F.lit(None).cast("long").alias("seq")).limit(0)
+    step = -(-(most - least + 1) // RANGES)
+    range_ = lambda c: F.floor((c - least) / step)
+    own = points.groupBy(range_(F.col("seq")).alias("_range")).agg(F.collect_set("seq").alias("_own"))
+    tops = own.agg(F.collect_list(F.array_max("_own")).alias("_tops"))
+    upto = lambda c: F.array_max(F.filter(c, lambda x: x <= F.col(high)))
+    met = bounds.join(own, range_(F.col(high)) == F.col("_range"), "left").crossJoin(F.broadcast(tops))
+    return met.select("chunk", high, F.coalesce(upto("_own"), upto("_tops")).alias("seq")).where("seq is not null")
 
 
 def read_chunks(log: DataFrame, plan: DataFrame, keys: Sequence[str], columns: Mapping[str, str], apply) -> DataFrame:

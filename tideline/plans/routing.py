@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
@@ -10,6 +10,9 @@ from ..functions.encoding import encode, json_event
 from ..model import idempotency_key, qualified
 from ..operators import route
 from ..sources.changelog import KEYS, NUMBERS, change_log
+from ..streaming.control import ControlStore
+from ..streaming.delivery import Delivery, Policy, Router
+from ..streaming.observe import Registry
 from .registry import EVENT, LOG, query
 
 SINKS = ["stdout", "mirror", "broker"]
@@ -44,14 +47,41 @@ def op_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return route.op_counts(change_log(spark, sf_dir))
 
 
+class Counting:
+    """A sink that counts what it gets, and what it gets after a newer event; it may refuse every so many-th batch."""
+
+    def __init__(self, name: str, refuse: int = 0):
+        self.name, self.refuse, self.calls, self.got, self.late, self.last = name, refuse, 0, 0, 0, 0
+
+    def write(self, events) -> None:
+        self.calls += 1
+        if self.refuse and self.calls % self.refuse == 0:
+            raise RuntimeError("busy")
+        for e in events:
+            self.late += e["seq"] < self.last
+            self.last = max(self.last, e["seq"])
+        self.got += len(events)
+
+    def close(self) -> None:
+        pass
+
+
+def routed(spark: SparkSession, log: DataFrame, sinks: list, **policy) -> Router:
+    """The whole log through the router that a pipeline runs, to all sinks; what failed is tried again at once."""
+    store, metrics = ControlStore(":memory:"), Registry()
+    store.migrate()
+    store.acquire("users", "me", 1e9)
+    router = Router("users", "me", store, [Delivery("users", "me", s, store, Policy(**policy), metrics, sleep=lambda x: False) for s in sinks], metrics=metrics)
+    router.foreach_batch(log, 0)
+    return router
+
+
 @query(f"""with {LOG} select s as sink, count(*) as events, 0::bigint as out_of_order from log cross join (select unnest(['stdout','mirror','broker']) as s) group by s""")
 def fanout_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per sink, and how many of a key arrive before an older one in the batches a sink sees."""
-    d = route.batches(route.fan_out(change_log(spark, sf_dir), SINKS), 500)
-    key = F.coalesce(F.col("after")["id"], F.col("before")["id"])
-    w = Window.partitionBy("sink", key).orderBy("batch.number", "seq")
-    d = d.withColumn("bad", (F.lag("seq").over(w) > F.col("seq")).cast("long"))
-    return d.groupBy("sink").agg(F.count("*").alias("events"), F.sum(F.coalesce("bad", F.lit(0))).cast("long").alias("out_of_order"))
+    """Events that each of three sinks got through the router, one of them refusing now and then, and how many came after a newer one."""
+    sinks = [Counting("stdout"), Counting("mirror"), Counting("broker", 3)]
+    routed(spark, change_log(spark, sf_dir), sinks)
+    return spark.createDataFrame([(s.name, s.got, s.late) for s in sinks], "sink string, events long, out_of_order long")
 
 
 @query(f"""with {LOG}, w as (select *, date_trunc('hour', commit_ts) as h, (row_number() over (partition by date_trunc('hour', commit_ts) order by seq) - 1) // 5 as number from log)
@@ -135,20 +165,13 @@ def nats_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir).select("schema", "table", naming.nats_subject("cdc").alias("subject")).distinct()
 
 
-@query(f"with {LOG} select seq, source_id || '|public.users|' || position || '|' || op || '|' || coalesce(case when op <> 't' then id::varchar end, '') as message_id, op, source_id as source, 'application/json' as content_type from log")
-def nats_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The message id holds op and row besides the idempotency key, so that rows of one position are not taken for repeats."""
-    row = F.coalesce(F.col("after")["id"], F.col("before")["id"], F.lit(""))
-    return change_log(spark, sf_dir).select("seq", F.concat_ws("|", idempotency_key(), "op", row).alias("message_id"), "op", F.col("source_id").alias("source"), F.lit("application/json").alias("content_type"))
-
-
 @query("select distinct p_type as name, regexp_replace(lower(p_type), '[^a-z0-9_]', '_', 'g') as slug from part")
 def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("name"), naming.slug(F.col("p_type")).alias("slug")).distinct()
 
 
-@query(None)
+@query(f"with {LOG} select seq, octet_length(encode({EVENT}))::bigint as json_bytes, true as smaller from log")
 def protobuf_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of both encodings."""
+    """Size of every event in both encodings; protobuf is the smaller one. What it holds is in protobuf_roundtrip."""
     d = encode(encode(change_log(spark, sf_dir), "protobuf", "proto", NUMBERS), "json", "json", NUMBERS)
-    return d.select("seq", F.octet_length("proto").alias("proto_bytes"), F.octet_length("json").alias("json_bytes"))
+    return d.select("seq", F.octet_length("json").cast("long").alias("json_bytes"), (F.octet_length("proto") < F.octet_length("json")).alias("smaller"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import apply, snapshot
 from ..sources.changelog import COLUMNS, KEYS, SCHEMA, SOURCE, TABLE, change_log
 from .registry import LOG, STATE, query
+from .scratch import folder
 
 KEY = KEYS["public.users"]
 HALF = "(select count(*) // 2 from events)"
@@ -49,7 +50,10 @@ def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    log, plan = change_log(spark, sf_dir), _plan(spark, sf_dir)
+    """(log, plan, rows of the chunks); the plan is written once, as a snapshot's plan is."""
+    log, path = change_log(spark, sf_dir), folder(spark, "plan")
+    _plan(spark, sf_dir).write.parquet(path)
+    plan = spark.read.parquet(path)
     return log, plan, snapshot.read_chunks(log, plan, KEY, COLUMNS, apply.apply_changes)
 
 
@@ -137,9 +141,7 @@ def chunk_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     log, plan, pages = _pages(spark, sf_dir)
     start = spark.read.parquet(f"{sf_dir}/events.parquet").count() // 4
     placed = snapshot.place_rows(log, plan, pages, "id", "bigint")
-    rows = apply.snapshot_events(placed.select(*COLUMNS), KEY, SOURCE, SCHEMA, TABLE, "", 0)
-    at = placed.select("id", "at").withColumnRenamed("id", "_id")
-    rows = rows.join(at, F.col("after")["id"].cast("bigint") == F.col("_id")).withColumn("seq", F.col("at")).drop("at", "_id")
+    rows = apply.snapshot_events(placed, KEY, SOURCE, SCHEMA, TABLE, "", F.col("at"), list(COLUMNS))
     return apply.apply_changes(rows.unionByName(log.where(F.col("seq") > start)), KEY, COLUMNS).drop("last_seq")
 
 

@@ -254,8 +254,7 @@ class Router:
 
         def one(d: Delivery) -> None:
             try:
-                n = d.serve(df, cursor)
-                self.metrics.add("tideline_events_read_total", n, **d.labels)
+                d.serve(df, cursor)
             except Exception as e:  # noqa: BLE001  reported below
                 errors.append(e)
 
@@ -272,6 +271,7 @@ class Router:
         """For one query that feeds all sinks; a slow one holds the others up. service.work gives each a query instead."""
         held = df.persist()
         try:
+            self.metrics.add("tideline_events_read_total", held.count(), pipeline=self.pipeline)
             self.serve(held)
         finally:
             held.unpersist()
