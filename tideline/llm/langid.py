@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free
+
 DIMS = 2048
 UNDETERMINED = "und"
 #: Families of common ISO 639-1 codes; any other code is a family of its own.
@@ -25,7 +27,7 @@ FAMILIES = {
     "semitic": "am ar he mt".split(),
 }
 _FAMILY = {lang: name for name, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def family(lang: str) -> str:
@@ -70,41 +72,60 @@ class Model:
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
         """Language and a score from 0 to 1: the family's probability times the winner's weakest duel."""
-        if not self.families:
-            return UNDETERMINED, 0.0
-        x = np.append(x, 1.0)
+        langs, scores = self.predict_all(x[None, :])
+        return langs[0], float(scores[0])
+
+    def predict_all(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """predict() of all rows of x: one product for the families, one a pair for the rows of its family."""
+        if not self.families or not len(x):
+            return [UNDETERMINED] * len(x), np.zeros(len(x))
+        x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
         names = sorted(self.families)
-        margins = np.array([x @ self.by_family[f] for f in names]) if len(names) > 1 else np.zeros(1)
-        best = int(np.argmax(margins))
-        other = np.delete(margins, best)
-        score = 1 / (1 + np.exp(-2 * (margins[best] - other.max()))) if len(other) else 1.0
-        langs = self.families[names[best]]
-        votes, duels = dict.fromkeys(langs, 0), {lang: [] for lang in langs}
-        for a, b in itertools.combinations(langs, 2):
-            m = float(x @ self.by_pair[a, b])
-            votes[a if m >= 0 else b] += 1
-            duels[a].append(m)
-            duels[b].append(-m)
-        lang = max(langs, key=lambda k: (votes[k], sum(duels[k])))
-        if duels[lang]:
-            score /= 1 + np.exp(-2 * min(duels[lang]))
-        return lang, float(score)
+        margins = x @ np.stack([self.by_family[f] for f in names]).T if len(names) > 1 else np.zeros((len(x), 1))
+        best, rows = margins.argmax(axis=1), np.arange(len(x))
+        scores = np.ones(len(x))
+        if len(names) > 1:
+            other = margins.copy()
+            other[rows, best] = -np.inf
+            scores = 1 / (1 + np.exp(-2 * (margins[rows, best] - other.max(axis=1))))
+        out = np.empty(len(x), object)
+        for f, name in enumerate(names):
+            at, langs = np.flatnonzero(best == f), self.families[name]
+            won, total, weakest = (np.full((len(at), len(langs)), v) for v in (0.0, 0.0, np.inf))
+            for a, b in itertools.combinations(range(len(langs)), 2):
+                m = x[at] @ self.by_pair[langs[a], langs[b]]
+                for side, value in ((a, m), (b, -m)):
+                    won[:, side] += (value >= 0) if side == a else (value > 0)
+                    total[:, side] += value
+                    weakest[:, side] = np.minimum(weakest[:, side], value)
+            # Most duels won, then the largest sum of margins, then the first name.
+            choice = np.array([max(range(len(langs)), key=lambda k, r=r: (won[r, k], total[r, k], -k)) for r in range(len(at))], int) if len(langs) > 2 else (won.argmax(axis=1) if len(at) else np.empty(0, int))
+            out[at] = [langs[k] for k in choice]
+            if len(langs) > 1:
+                scores[at] /= 1 + np.exp(-2 * weakest[np.arange(len(at)), choice])
+        return out.tolist(), scores
+
+
+#: Languages a model can tell apart: it holds a weight vector each, and one a pair of one family.
+MAX_LANGUAGES = 4096
 
 
 def train(rows: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on about per_lang rows of each language (a bounded sample, taken by a hash of the id; languages with fewer rows give all).
 
-    Rows with a null language, a null text or no letter teach nothing. At most 4096
-    languages are supported, which bounds what reaches the driver together with per_lang.
+    Rows with a null language, a null text or no letter teach nothing. A table with more
+    than MAX_LANGUAGES languages is refused, not cut; with per_lang that bounds what reaches the driver.
     """
     known = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(4096).collect()}
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return Model({}, {}, {})
-    share: Column = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(10), "id"), F.lit(1 << 30)) < share * float(1 << 30)
+    spark = rows.sparkSession
+    share = spark.createDataFrame([(r["lang"], min(1.0, per_lang / r["n"])) for r in sorted(counts)], "lang string, share double")
+    known = known.join(F.broadcast(share), "lang")  # at most MAX_LANGUAGES rows
+    draw = F.pmod(F.xxhash64(F.lit(10), "id", F.xxhash64("text")), F.lit(1 << 30)) < F.col("share") * float(1 << 30)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -112,7 +133,7 @@ def train(rows: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col
             b = b[ok]
             yield pd.DataFrame({"lang": b["lang"], "x": [features(t).astype(np.float16).tobytes() for t in b["text"]]})
 
-    got = sorted((r["lang"], bytes(r["x"])) for r in known.where(draw).mapInPandas(run, "lang string, x binary").collect())
+    got = sorted((r["lang"], bytes(r["x"])) for r in known.where(draw).select("text", "lang").mapInPandas(run, "lang string, x binary").collect())
     langs = np.array([r[0] for r in got])
     x = np.stack([np.frombuffer(r[1], np.float16).astype(np.float32) for r in got]) if got else np.empty((0, DIMS), np.float32)
     groups: dict[str, list[str]] = {}
@@ -131,7 +152,8 @@ def train(rows: DataFrame, per_lang: int = 800, id_col: str = "doc_id", text_col
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score added (columns of these names are replaced); a map without shuffle.
 
-    The whole text is read, nothing else. Null texts and texts without a letter: 'und'
+    The whole text is read, nothing else. Null texts and texts without a letter (Unicode category L; digits
+    and numerals are none): 'und'
     with score 0. Repeated rows get equal answers, an empty table none. A model without
     languages answers 'und'.
     """
@@ -139,9 +161,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        m = cast.value
-        out = [m.predict(features(t)) if t and _LETTER.search(t) else (UNDETERMINED, 0.0) for t in texts]
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+        langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        read = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        if read.any():
+            langs[read], scores[read] = cast.value.predict_all(np.stack([features(t) for t in texts[read]]))
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     plain = docs.drop("lang_pred", "score")
-    return plain.withColumn("_judged", judge(F.col(text_col))).select(*plain.columns, "_judged.lang_pred", "_judged.score")
+    (name,) = free(plain, "judged")
+    return plain.withColumn(name, judge(F.col(text_col))).select(*plain.columns, f"{name}.lang_pred", f"{name}.score")

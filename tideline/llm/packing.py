@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import saved, with_rank
 
-#: Parts into which the pieces of one length are dealt for ranking.
-BUCKETS = 256
+#: Pieces of one length that a bucket of the ranking holds on average at most.
+BUCKET_ROWS = 200_000
+#: Buckets of every length, so that a common length is ranked by many tasks in a small table too.
+LEAST_BUCKETS = 64
 #: Texts on which two libraries must agree before one stands in for the other.
-PROBE = ["", " a", " The cat's 12,345 hats\n\n  don't\tfit", " été où ñandú Straße 北京 😀", " <|endoftext|>", " x\u00a0y\u3000z", " \r\n!!?? ''s 've", " aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
+PROBE = ["", " a", " The cat's 12,345 hats\n\n  don't\tfit", " été où ñandú Straße 北京 😀", " <|endoftext|>", " a<|endoftext|>b<|endoftext|>", " x\u00a0y\u3000z", " \r\n!!?? ''s 've", " aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
 #: Chunks of text whose ids a Python worker remembers.
 CACHE = 600_000
 
@@ -30,7 +32,8 @@ class Tokens:
     other characters, so a text is cut there, and each distinct chunk is encoded once
     and remembered. Chunks are encoded by tiktoken with the file's own vocabulary and
     pattern, several times faster than by tokenizers; on loading, both must agree on
-    PROBE, else tokenizers does it all. The ids equal those of encode() on the text at once.
+    PROBE, else tokenizers does it all. The ids equal those of encode(text, add_special_tokens=False) on the
+    text at once; an added token that a text holds, such as <|endoftext|>, is one id there as here.
     """
 
     def __init__(self, path: str):
@@ -38,7 +41,6 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.many = self._by_tokenizers
         try:
             self.fast = self._same_vocabulary(path)
@@ -59,12 +61,14 @@ class Tokens:
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        added = {t["content"] for t in file["added_tokens"]}
+        added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        if any(t[flag] for t in file["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized")) or any(" " in t for t in added):
+            raise ValueError("an added token reaches beyond its own characters")
         ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in added}
-        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def _by_tiktoken(self, chunks: list[str]) -> list[list[int]]:
-        return [self.fast.encode_ordinary(c) for c in chunks]
+        return [self.fast.encode(c, allowed_special="all") for c in chunks]
 
     def _by_tokenizers(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -214,6 +218,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, end_id
         at = np.searchsorted(keys, (length.to_numpy().astype(np.int64) << 48) | rank.to_numpy(), "right") - 1
         return pd.DataFrame({"sequence_id": rows[at, 3] + rank.to_numpy() - rows[at, 1], "offset": rows[at, 4]})
 
-    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS))
+    # A length with many pieces (most documents are cut into full ones) is dealt into as many buckets as it needs.
+    deal = {k: -(-n // BUCKET_ROWS) for k, n in histogram.items() if n > BUCKET_ROWS}
+    count = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(deal.items()) for x in pair])[F.col("length")], F.lit(1)) if deal else F.lit(1)
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.greatest(count, F.lit(LEAST_BUCKETS)).cast("long"))
     ranked = with_rank(cut, ["length"], [F.col("doc_id"), F.col("start"), F.col("ids_crc32")], bucket)
     return ranked.withColumn("_p", find("length", "rank")).select(*cut.columns, "_p.sequence_id", "_p.offset")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 HASHED, SURFACE, RANK, NEIGHBOURS = 4096, 64, 64, 15
@@ -17,7 +17,7 @@ SURFACE_WEIGHT = 0.3
 
 
 def surface(text: str) -> np.ndarray:
-    """Eight shares of the whole text, each spread over eight soft bins."""
+    """Eight shares of the whole text, each spread over eight soft bins; the share of its length is full from 4,096 words on."""
     words = text.split()
     n, chars = max(len(words), 1), max(len(text), 1)
     plain = text.encode("utf-8", "surrogatepass")
@@ -83,20 +83,22 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on about per_label documents of each label 0 and 1, taken by a hash of the id; the latent space is their SVD.
+    """Fit on at most per_label documents of each label 0 and 1, those with the least hash of the id; the latent space is their SVD.
 
     per_label bounds the model, what reaches the driver, and the ids that are broadcast to
-    find the texts; texts are not shuffled. Null, empty and missing texts and other labels
-    teach nothing; the prior counts all labelled rows.
+    find the texts; texts are not shuffled but those of the sample. Null, empty and missing texts and other labels
+    teach nothing; rows that repeat a label count once, and of several texts of one id the least counts; the prior counts all labelled rows.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.5
-    share = F.when(F.col("y") == 1, min(1.0, per_label / max(counts.get(1, 0), 1))).otherwise(min(1.0, per_label / max(counts.get(0, 0), 1)))
-    draw = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < share * float(1 << 30)
-    sample = known.where(draw).limit(8 * per_label)
-    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text") != "").join(F.broadcast(sample), "id")
+    # Some labelled documents may be empty or missing, so twice as many ids are drawn.
+    draw = lambda y: known.where(F.col("y") == y).select("id", "y").distinct().orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(2 * per_label)
+    sample = draw(0).unionByName(draw(1))
+    drawn = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text") != "").join(F.broadcast(sample), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    one = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(3), "id"), "id")
+    drawn = drawn.withColumn("_r", F.row_number().over(one)).where(F.col("_r") <= per_label).select("y", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

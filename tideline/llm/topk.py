@@ -7,10 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Vectors of a part, queries of a block, and the longest vectors that fit the rotation and the first bounds.
 PART, QUERIES, HEAD = 4096, 2048, 2048
 #: Rotated coordinates summed before the first bound, and vectors judged at once.
 LEAD, STEP = 16, 512
+#: Bands of length.
+BANDS = 64
 
 
 def quantized(vector: Column, scale: float = 256.0) -> Column:
@@ -92,35 +96,59 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     once. Fewer than k candidates: all of them. An empty table gives no rows, and other
     columns are ignored. Scores are exact while they stay below 2 ** 53.
 
-    Queries in blocks meet candidates in parts: a task holds QUERIES + PART vectors, and
-    returns k rows a query at most. Only HEAD vectors go to the driver and back.
+    Candidates lie in bands of falling length. A query knows from the HEAD longest vectors a score that its k best
+    reach, and so, by Cauchy-Schwarz, up to which band it has to look; only there do the two meet, queries in blocks
+    and candidates in parts, QUERIES + PART vectors a task. A meeting
+    returns k rows a query at most. Only HEAD vectors, and numbers by band, go to the driver and back.
     """
     spark, wanted = vectors.sparkSession, F.coalesce(is_query, F.lit(False))
     v = vectors.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col), scale).alias("v")).where("id is not null and v is not null")
-    v = v.groupBy("id", "v").agg(F.count("*").alias("copies"))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    head = v.orderBy(norm.desc(), "id").select("id", "v").limit(HEAD).collect()
-    stats = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.count(F.when(wanted, 1)).alias("q")).first()
+    v = v.groupBy("id", "v").agg(F.count("*").alias("copies")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    head = v.orderBy(F.desc("norm"), "id").select("id", "v").limit(HEAD).collect()
+    stats = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d"), F.percentile_approx("norm", [i / BANDS for i in range(1, BANDS)], 10 * BANDS).alias("cuts")).first()
     schema = "query_id long, vec_id long, score long, copies long"
     dims = max(stats["d"] or 1, 1)
     first = _stack([r["v"] for r in head], dims)
     _, _, right = np.linalg.svd(first, full_matrices=True) if len(first) else (None, None, np.eye(dims))
     known = spark.sparkContext.broadcast((np.array([r["id"] for r in head], np.int64), first, np.ascontiguousarray(right.T)))
-    parts, blocks = -(-stats["n"] // PART) or 1, -(-stats["q"] // QUERIES) or 1
 
     @F.pandas_udf("double")
     def floor(ids: pd.Series, vs: pd.Series) -> pd.Series:
         """The k-th best score among the longest vectors: what the k best overall reach at least."""
         hid, h, _ = known.value
-        out = []
-        for i, x in zip(ids, vs):
-            s = (h @ _stack([x], dims)[0])[hid != i]
-            out.append(np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else -np.inf)
-        return pd.Series(out, dtype=float)
-
-    part, block = F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64(F.lit(6), "id", "v"), F.lit(blocks)).cast("int")
-    queries = v.where(wanted).select("id", "v", floor("id", "v").alias("floor"), block.alias("b")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sides = v.select("id", "v", "copies", part.alias("p")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        out = np.full(len(ids), -np.inf)
+        for at in range(0, len(ids) if len(hid) else 0, STEP):
+            i = ids.to_numpy()[at : at + STEP]
+            s = np.where(hid[None, :] == i[:, None], -np.inf, _stack(vs.iloc[at : at + STEP], dims) @ h.T)
+            if len(hid) >= k:
+                out[at : at + STEP] = np.partition(s, len(hid) - k, axis=1)[:, len(hid) - k]
+        return pd.Series(out)
+
+    # Band 0 holds the longest vectors; equal lengths share a band, which is dealt into parts by hash.
+    cuts = sorted(set(stats["cuts"] or []), reverse=True)
+    band = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("norm"))) if cuts else F.lit(0)
+    banded = v.withColumn("band", band)
+    sizes = {r["band"]: r for r in banded.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}  # at most BANDS rows
+    bands = max(sizes, default=-1) + 1
+    counts = [-(-sizes[b]["n"] // PART) if b in sizes else 0 for b in range(bands)]
+    ends, tops = np.cumsum([0, *counts]).tolist(), [sizes[b]["top"] if b in sizes else 0.0 for b in range(bands)]
+    numbers = lambda values, kind: F.array(*map(F.lit, values)).cast(f"array<{kind}>")
+    reach = F.size(F.filter(numbers(tops, "double"), lambda t: t * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("floor")))
+    queries = saved(v.where(wanted).select("id", "v", "norm", floor("id", "v").alias("floor")).withColumn("reach", reach).drop("norm"), "topk-queries")
+    # Queries of like reach share blocks, the furthest first, so a band meets the first so many blocks.
+    level = F.floor(F.log2(F.lit(max(bands, 1)) / F.greatest("reach", F.lit(1)))).cast("int")
+    need = sorted((-r["far"], r["level"], r["n"]) for r in queries.groupBy(level.alias("level")).agg(F.max("reach").alias("far"), F.count("*").alias("n")).collect())
+    blocks, begin = {lv: -(-n // QUERIES) for _, lv, n in need}, {}
+    for _, lv, _ in need:
+        begin[lv] = sum(blocks[x] for x in begin)
+    upto = [sum(blocks[lv] for far, lv, _ in need if -far > b) for b in range(bands)]
+    pick = lambda table: F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])[level] if table else F.lit(0)
+    block = pick(begin) + F.pmod(F.xxhash64(F.lit(6), "id", "v"), pick(blocks).cast("long")).cast("int")
+    to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    asked = queries.withColumn("b", block).withColumn("p", F.explode(to(F.get(numbers(ends, "int"), F.col("reach"))))).drop("reach")
+    part = F.get(numbers(ends, "int"), F.col("band")) + F.pmod(F.xxhash64("id", "v"), F.get(numbers(counts, "long"), F.col("band"))).cast("int")
+    sides = banded.select("id", "v", "copies", part.alias("p"), F.explode(to(F.get(numbers(upto, "int"), F.col("band")))).alias("b"))
+    queries = asked
 
     def meet(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):

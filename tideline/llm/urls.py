@@ -70,12 +70,15 @@ def templates(paths: DataFrame) -> DataFrame:
     level, places with over VARIABLE distinct values under one parent become {*}. Then, from
     the deepest level up, sibling branches with labels whose purity doesn't differ from that
     of all of them together (a two-sided z-test) are merged into one branch {+}, and
-    sibling branches without any label into {-}.
+    sibling branches without any label into {-}. The first LEVELS segments have a level each; all that follows is one more
+    segment, compared as a whole.
     """
     segs = F.split(F.expr("substring(leaf, 2)"), "/")
     deep = F.concat(F.slice(segs, 1, LEVELS), F.when(F.size(segs) > LEVELS, F.array(F.array_join(F.slice(segs, LEVELS + 1, 1 << 20), "/"))).otherwise(F.array().cast("array<string>")))
     tree = paths.withColumn("segs", F.when(F.col("leaf") == "", F.array().cast("array<string>")).otherwise(deep)).withColumn("up", F.lit(""))
-    for level in range(LEVELS + 1):
+    depth = paths.select(F.coalesce(F.max(F.size(segs)), F.lit(0))).first()[0]
+    levels = min(LEVELS, depth) + (depth > LEVELS)
+    for level in range(levels):
         seg = F.get("segs", F.lit(level))
         here = tree.withColumn("seg", seg)
         many = here.where("seg is not null").groupBy("host", "up", "seg").agg(F.count("*").alias("c")).groupBy("host", "up").agg(F.count("*").alias("values")).where(F.col("values") > VARIABLE).select("host", "up", F.lit(True).alias("many"))
@@ -84,7 +87,7 @@ def templates(paths: DataFrame) -> DataFrame:
         tree = saved(tree, "url-tree")
     leaves = tree.select("host", "leaf", F.col("up").alias("branch"), "blocked", "labelled")
     nodes = saved(leaves.groupBy("host", "branch").agg(F.sum("blocked").alias("blocked"), F.sum("labelled").alias("labelled")).withColumn("template", F.col("branch")), "url-nodes")
-    for level in reversed(range(LEVELS + 1)):
+    for level in reversed(range(levels)):
         # Siblings at a level share everything but that segment.
         parts = F.split("template", "/")
         own = F.get(parts, F.lit(level + 1))
@@ -109,10 +112,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject: float = 0.5
     """Per row of pages: page_id, host, path, rule, verdict, template, purity.
 
     The longest rule that fits decides; pages under a rule are the labelled ones. Others
-    are judged by their template: its share of blocked pages among the labelled, smoothed
-    towards the share of blocked pages among all of the host, which is smoothed towards that
-    of all hosts. At `reject` or more the verdict is block, so a template needs labels of
-    its own to be rejected on a host that is mostly unknown. Null urls and those without '://' have empty host and path, and form a
+    are judged by their template: its share of blocked pages among its labelled ones, smoothed
+    towards that of its host, which is smoothed towards that of all hosts. A template with labelled pages
+    whose purity is `reject` or more is blocked; one without any is allowed.
+    Path segments past the sixth count as one (see templates). Null urls and those without '://' have empty host and path, and form a
     template like others. Repeated rows get equal rows, an empty table none, and other
     columns are ignored.
     """
@@ -121,10 +124,10 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject: float = 0.5
     d = d.withColumn("_r", _ruled(rules, F.col("host"), F.col("path"))).withColumn("leaf", F.array_join(F.transform(F.split("path", "/"), _shape), "/"))
     block, labelled = (F.col("_r.verdict") == "block").cast("long"), F.col("_r").isNotNull().cast("long")
     paths = saved(d.groupBy("host", "leaf").agg(F.count("*").alias("n"), F.sum(F.coalesce(block, F.lit(0))).alias("blocked"), F.sum(labelled).alias("labelled")), "url-paths")
-    all_ = paths.agg(F.sum("blocked").alias("b"), F.sum("n").alias("n")).first()
+    all_ = paths.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("n")).first()
     prior = all_["b"] / all_["n"] if all_["n"] else 0.0
-    hosts = paths.groupBy("host").agg(((F.sum("blocked") + SMOOTH * prior) / (F.sum("n") + SMOOTH)).alias("host_purity"))
-    tree = saved(templates(paths).join(hosts, "host").select("host", "leaf", "template", ((F.col("blocked") + SMOOTH * F.col("host_purity")) / (F.col("labelled") + SMOOTH)).alias("purity")), "url-templates")
+    hosts = paths.groupBy("host").agg(((F.sum("blocked") + SMOOTH * prior) / (F.sum("labelled") + SMOOTH)).alias("host_purity"))
+    tree = saved(templates(paths).join(hosts, "host").select("host", "leaf", "template", "labelled", ((F.col("blocked") + SMOOTH * F.col("host_purity")) / (F.col("labelled") + SMOOTH)).alias("purity")), "url-templates")
     side = F.broadcast(tree) if tree.count() <= BROADCAST_ROWS // 8 else tree
-    verdict = F.coalesce("_r.verdict", F.when(F.col("purity") >= reject, "block").otherwise("allow"))
+    verdict = F.coalesce("_r.verdict", F.when((F.col("labelled") > 0) & (F.col("purity") >= reject), "block").otherwise("allow"))
     return d.join(side, ["host", "leaf"]).select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
