@@ -175,8 +175,8 @@ def test_fingerprints(spark):
     assert simhash.fingerprint("One TWO three") == native % 2**64
 
 
-@pytest.mark.parametrize("tile", [4, 512])
-def test_links_and_components(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, bands", [(4, None), (512, None), (512, 5), (8, 6)])
+def test_links_and_components(spark, monkeypatch, tile, bands):
     monkeypatch.setattr(simhash, "TILE", tile)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 12, dtype=np.uint64)
@@ -189,7 +189,7 @@ def test_links_and_components(spark, monkeypatch, tile):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), bands=bands)
     roots = {r.node: r.root for r in graph.components(edges).collect()}
     parent = {x: x for x in signed}
 
@@ -338,12 +338,13 @@ ITEM = "If Anna buys 12 kg of red apples at 3 euros each and gives Bob half of t
 def test_templates(spark):
     bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "short item of six words only"), (5, "Just Capital Names Here And There Are No Plain Words In It At All")], "item_id long, text string")
     again = ITEM.replace("Anna", "Carla").replace("12", "70").replace("kg", "lb").replace("Bob", "Dora")
-    mixed = ITEM.replace("Anna", "Carla", 1)  # one person under two names
-    docs = [(1, "Before. " + ITEM + " After."), (2, again), (3, mixed), (4, "clean text about apples and pears that shares no passage with it"), (5, None), (6, ""), (7, "it is a short item of six words only indeed"), (8, "x " * 5000 + ITEM), (8, "x " * 5000 + ITEM), (None, ITEM), (9, "Every Word Here Has A Capital And So Matches Any Names At All Really")]
+    mixed = ITEM.replace("Anna", "Carla", 1)  # one person under two names, but many windows word for word
+    odd = again.replace("Carla", "Eve", 1)  # one person under two names, and no window of its own words
+    docs = [(1, "Before. " + ITEM + " After."), (2, again), (3, mixed), (10, odd), (4, "clean text about apples and pears that shares no passage with it"), (5, None), (6, ""), (7, "it is a short item of six words only indeed"), (8, "x " * 5000 + ITEM), (8, "x " * 5000 + ITEM), (None, ITEM), (9, "Every Word Here Has A Capital And So Matches Any Names At All Really")]
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(table(spark, docs), bench).collect()}
-    assert set(got) == {(1, 1), (2, 1), (7, 4), (8, 1), (None, 1)} and got[1, 1].exact and not got[2, 1].exact
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (7, 4), (8, 1), (None, 1)} and got[1, 1].exact and not got[2, 1].exact and got[3, 1].exact
     left = decontaminate.decontaminate(table(spark, docs), bench)
-    assert sorted(r.doc_id for r in left.collect()) == [3, 4, 5, 6, 9] and left.columns == table(spark, []).columns
+    assert sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 9, 10] and left.columns == table(spark, []).columns
     assert decontaminate.leaks(table(spark, []), bench).count() == 0 and decontaminate.leaks(table(spark, docs), bench.limit(0)).count() == 0
 
 

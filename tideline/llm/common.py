@@ -37,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_SAVED: list[str] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs don't recompute it, and a lost executor doesn't lose it."""
     spark = df.sparkSession
@@ -44,9 +47,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tideline_path = path
+    _SAVED.append(path)
     return out
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete every table saved by this process so far, once its results have been written elsewhere: plans that read them can't run again."""
+    while _SAVED:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_SAVED.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete saved tables that no later plan reads."""
     for t in tables:

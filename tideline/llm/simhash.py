@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 from .common import drop, saved
 from .graph import components
 
-BITS, BANDS = 64, 4
+BITS = 64
+#: Distinct fingerprints from which on a tile is keyed by more bits: 4 bands of 16 bits, each alone; 5 bands, by two (25 bits or
+#: more); 6 bands, by three (31 or more).
+WIDER = ((0, 4), (1 << 22, 5), (1 << 28, 6))
 #: Rows of a tile that one comparison holds; larger tiles are split and compared in pairs.
 TILE = 512
 
@@ -37,6 +41,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes (unsigned longs), as a signed long; 0 for none."""
+    if not len(hashes):
+        return 0
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of docs; fp holds the 64 bits as a signed long. Null and empty texts: 0."""
 
@@ -125,18 +139,28 @@ def _unit_edges(unit: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int)
     return fp[i], fp[label[i]]
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def masks(radius: int, bands: int) -> list[int]:
+    """Bit masks one of which two fingerprints agree under if they differ in at most `radius` bits: all but `radius` of the bands."""
+    if radius >= bands:
+        raise ValueError(f"the radius must be below {bands}")
+    ends = [BITS * i // bands for i in range(bands + 1)]
+    band = [((1 << (b - a)) - 1) << a for a, b in zip(ends, ends[1:])]
+    return [sum(some) for some in itertools.combinations(band, bands - radius)]
+
+
+def links(fps: DataFrame, radius: int = 3, bands: int | None = None) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (column fp) that span all links of at most radius bits.
 
-    Two fingerprints that differ in at most 3 bits agree in one of four 16-bit bands,
-    so every link lies inside a tile (band, value). A tile of over TILE rows is split by
+    The bits are cut into bands; fingerprints that differ in at most radius bits agree in all but
+    radius of them, so every link lies inside a tile (bands that agree, their value). The more fingerprints there are, the more bands
+    are used, so that tiles stay small. A tile of over TILE rows is split by
     population count and then by hash into blocks; each pair of blocks whose counts
     differ by at most the radius is one unit of work, so that no tile has to fit a task.
     """
-    if radius >= BANDS:
-        raise ValueError(f"the radius must be below {BANDS}")
-    width = BITS // BANDS
-    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i in range(BANDS)])).alias("t")
+    n = 0 if bands else fps.count()
+    bands = bands or max(b for least, b in WIDER if n >= least)
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    band = F.explode(F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for i, m in enumerate(masks(radius, bands))])).alias("t")
     rows = fps.select("fp", F.expr("bit_count(fp)").cast("int").alias("ones"), band).select("fp", "ones", "t.*")
     sizes = rows.groupBy("band", "value", "ones").agg(F.count("*").alias("n"))
     large = sizes.groupBy("band", "value").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / TILE).cast("int").alias("b")))).alias("blocks")).where(F.col("all") > TILE)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import drop, saved
 from .graph import components
 
@@ -43,16 +44,18 @@ def shingles(parts: list[bytes], words: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
 
 
-def prefix(found: np.ndarray, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def frequency(found: np.ndarray, names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often the sample holds each shingle; 0 for one that isn't named."""
+    if not len(names) or not len(found):
+        return np.zeros(len(found), np.int64)
+    at = np.minimum(np.searchsorted(names, found), len(names) - 1)
+    return np.where(names[at] == found, counts[at], 0)
+
+
+def prefix(found: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The shingles of which two sets of similarity 0.8 or more share one at least: n - ceil(0.8 n) + 1, the rarest first."""
     n = len(found)
-    if not n:
-        return found
-    often = np.zeros(n, np.int64)
-    if len(names):
-        at = np.minimum(np.searchsorted(names, found), len(names) - 1)
-        often = np.where(names[at] == found, counts[at], 0)
-    return found[np.argsort(often, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+    return found[np.argsort(often, kind="stable")[: n - (4 * n + 4) // 5 + 1]] if n else found
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -138,7 +141,8 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     white space, A-Z lowered) is 0.8 or more; components are closed over links. No link is
     lost: sets that similar share one of their rarest 20 % of shingles in any one order of
     all shingles, and each pair that does is compared by all its shingles, unless parities
-    of their hashes show already that too many differ, or other links join the two. Texts that share a shingle are first compared
+    of their hashes show already that too many differ, or other links join the two. First come the pairs that
+    SimHash fingerprints of at most 3 different bits propose, and texts that share a shingle are compared
     with the few of them that hold most frequent shingles (an original, where most others are edited copies of it), and pairs
     that these links have joined are left out of the rest. The sample of
     frequent shingles only sets that order. Texts of equal words are one node; null texts
@@ -172,15 +176,15 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     known = docs.sparkSession.sparkContext.broadcast((names[order], counts[order]))
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = known.value[0]
         for b in batches:
             parts = [words_of(t) for t in b["text"]]
             found = [shingles(p, words) for p in parts]
-            central = [int(1000 * np.isin(f, names).mean()) if len(f) and len(names) else 0 for f in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "k": [key(p) for p in parts], "n": np.fromiter(map(len, found), np.int64, len(found)), "central": central, "prefix": [prefix(f, *known.value).view(np.int64) for f in found], "sketch": [sketch(f) for f in found], "short": [short_sketch(f) for f in found]})
+            often = [frequency(f, *known.value) for f in found]
+            central = [int(1000 * (o > 0).mean()) if len(o) else 0 for o in often]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "k": [key(p) for p in parts], "n": np.fromiter(map(len, found), np.int64, len(found)), "central": central, "prefix": [prefix(f, o).view(np.int64) for f, o in zip(found, often)], "sketch": [sketch(f) for f in found], "short": [short_sketch(f) for f in found], "fp": [simhash.of_hashes(f) for f in found]})
 
-    rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>"), "near-docs")
-    nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "central", "prefix", "sketch", "short")], F.count("*").alias("copies")), "near-nodes")
+    rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>, fp long"), "near-docs")
+    nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "central", "prefix", "sketch", "short", "fp")], F.count("*").alias("copies")), "near-nodes")
     shorts = [f"s{i}" for i in range(SHORT)]
     arrays = lambda b: (b["h"].to_numpy(), b["node"].to_numpy(), b["n"].to_numpy(np.int64), b["pos"].to_numpy(np.int64))
 
@@ -224,9 +228,13 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
                 keep.append(9 * same >= 4 * (m + n))
             yield b.loc[keep, ["u", "v"]]
 
-    def linked(placed: DataFrame, by: list, how) -> DataFrame:
+    def met(placed: DataFrame, by: list, how) -> DataFrame:
         spread = placed.select(node.alias("node"), "n", "comp", "central", "copies", *[F.col("short")[i].alias(c) for i, c in enumerate(shorts)], F.posexplode("prefix").alias("pos", "h"))
-        met = saved(spread.repartition(F.col("h")).sortWithinPartitions("h", *by, "node").mapInPandas(how, "u long, v long").distinct(), "near-met")
+        return spread.repartition(F.col("h")).sortWithinPartitions("h", *by, "node").mapInPandas(how, "u long, v long")
+
+    def linked(met: DataFrame) -> DataFrame:
+        """Pairs of nodes that are similar."""
+        met = saved(met.distinct(), "near-met")
         one = nodes.select(node.alias("u"), F.col("n").alias("m"), F.col("sketch").alias("a"))
         two = nodes.select(node.alias("v"), "n", F.col("sketch").alias("b"))
         maybe = saved(met.join(one, "u").join(two, "v").mapInPandas(rough, "u long, v long").distinct(), "near-pairs")
@@ -244,10 +252,16 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
         drop(met, maybe, reps, full)
         return edges
 
-    near = linked(nodes.withColumn("comp", node), [F.desc("central"), F.desc("copies")], meet_pivots)
+    # SimHash proposes pairs: texts of one fingerprint with the least of them, and the least ones of linked fingerprints.
+    least = saved(nodes.groupBy("fp").agg(F.min(node).alias("least"), F.count("*").alias("texts")), "near-prints")
+    close = simhash.links(least.select("fp"))
+    ends = close.join(least.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("b")), "v")
+    alike = nodes.select("fp", node.alias("a")).join(least.where("texts > 1").select("fp", F.col("least").alias("b")), "fp").where("a <> b")
+    proposed = ends.select("a", "b").unionByName(alike.select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    near = linked(met(nodes.withColumn("comp", node), [F.desc("central"), F.desc("copies")], meet_pivots).unionByName(proposed))
     known_roots = components(near).withColumnRenamed("node", "k")
     placed = nodes.join(known_roots, "k", "left").withColumn("comp", F.xxhash64(F.coalesce("root", "k"))).drop("root")
-    rest = linked(saved(placed, "near-placed"), ["n"], meet)
+    rest = linked(met(saved(placed, "near-placed"), ["n"], meet))
     edges = near.unionByName(rest)
     roots = components(edges)
     drop(near, rest)

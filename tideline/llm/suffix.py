@@ -25,9 +25,9 @@ from .common import release, saved
 ANCHORS = (40, 88, 100)
 #: Runs of one anchor that one shard compares by their bytes.
 GROUP = 512
-#: An anchor with more than one in HOT of all runs (judged by the documents of one hash value of SAMPLE)
-#: is dealt out by window from the start. There are fewer than HOT such anchors.
-HOT, SAMPLE = 2048, 32
+#: An anchor with more than one in HOT of all runs, or with more than HOT_RUNS (judged by the documents of one hash value of SAMPLE),
+#: is dealt out by window from the start. At most MOST_HOT anchors are, the commonest, which bounds what is broadcast (8 bytes each).
+HOT, SAMPLE, HOT_RUNS, MOST_HOT = 2048, 32, 1 << 20, 1 << 17
 #: Bytes of text that are hashed at once, and of run text in a shard.
 BLOCK, SHARD = 1 << 20, 1 << 20
 
@@ -453,9 +453,9 @@ def repeated_spans(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     long = keyed.where(F.length("text") >= width)
     some = long.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(SAMPLE)) == 0).mapInArrow(_first_runs(width, np.empty(0, np.int64)), ROWS)
     some = some.where(F.col("kind") == RUN).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    common = some.orderBy(F.desc("n")).limit(HOT).collect()
+    common = some.where(F.col("n") >= 8).orderBy(F.desc("n")).limit(MOST_HOT).collect()
     runs_seen = long.where(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(SAMPLE)) == 0).agg(F.sum(F.length("text"))).first()[0] or 0
-    least = max(8, runs_seen * 2 / (width - ANCHORS[0] + 2) / HOT) if width > ANCHORS[0] else 8
+    least = max(8, min(runs_seen * 2 / (width - ANCHORS[0] + 2) / HOT, HOT_RUNS / SAMPLE)) if width > ANCHORS[0] else 8
     hot = np.sort(np.array([r["key"] for r in common if r["n"] >= least], np.int64))
     rows = long.mapInArrow(_first_runs(width, docs.sparkSession.sparkContext.broadcast(hot)), ROWS)
     found: list[DataFrame] = []
