@@ -34,7 +34,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null ids come last; unrelated rows that share an id, or have none, all stay.
 
-    Pairs that similar differ in some 10 of 64 SimHash bits, too many for bands, so they are found by their shingles.
+    SimHash tiles propose the closest pairs; others that similar differ in some 10 of 64 bits, too many for bands, and are found by their
+    rarest shingles. Every pair is held against its whole sets of shingles.
     """
     groups = similar.near_copies(docs.select("doc_id", "text"))
     first = groups.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h1", "h2")).alias("row"))
