@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .common import free
 
 DIMS = 2048
+#: Rows judged at once.
+BLOCK = 256
 UNDETERMINED = "und"
 #: Families of common ISO 639-1 codes; any other code is a family of its own.
 FAMILIES = {
@@ -162,9 +164,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     @F.pandas_udf("lang_pred string, score double")
     def judge(texts: pd.Series) -> pd.DataFrame:
         langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-        read = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
-        if read.any():
-            langs[read], scores[read] = cast.value.predict_all(np.stack([features(t) for t in texts[read]]))
+        read = np.flatnonzero([bool(t and _LETTER.search(t)) for t in texts])
+        for at in range(0, len(read), BLOCK):
+            some = read[at : at + BLOCK]
+            langs[some], scores[some] = cast.value.predict_all(np.stack([features(t) for t in texts.iloc[some]]))
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
     plain = docs.drop("lang_pred", "score")
