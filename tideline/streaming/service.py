@@ -182,13 +182,6 @@ class Bootstrap:
     def __init__(self, spark: SparkSession, reader, router: Router, hooks: SnapshotHooks, over: Callable[[], bool] = lambda: False):
         self.spark, self.reader, self.router, self.hooks, self.over = spark, reader, router, hooks, over
 
-    def _rows(self, df: DataFrame, cursor: bool = True) -> int:
-        n = df.count()
-        if n:
-            self.router.serve(df, cursor)
-            self.hooks.rows(n)
-        return n
-
     def single(self, capture: str) -> int:
         """All tables as they stand at the log's end. It counts as done only once every sink has every row."""
         position, seq = self.reader.end(self.spark)
@@ -199,7 +192,10 @@ class Bootstrap:
         for table in tables:
             if self.over():
                 raise Stopped(table)
-            self._rows(self.reader.snapshot(self.spark, table, seq, position))
+            rows = self.reader.snapshot(self.spark, table, seq, position).persist()
+            self.router.serve(rows)
+            self.hooks.rows(rows.count())
+            rows.unpersist()
         for d in self.router.deliveries:  # a sink that got no row still stands here
             self.router.store.advance_cursor(self.router.pipeline, self.router.holder, d.sink.name, position, seq)
         self.router.commit()
@@ -229,11 +225,11 @@ class Bootstrap:
                 n = page.count()
                 top, high = self.reader.end(self.spark)
                 window = self.reader.log(self.spark, low, high)
-                self.router.serve(self.reader.log(self.spark, at, low))
                 ground, rest = split_by_window(page, window, tables[name])
-                self._rows(ground, cursor=False)
-                self.router.serve(window)
-                self._rows(rest.withColumn("seq", F.lit(high).cast("long")).withColumn("position", F.lit(top)))
+                rest = rest.withColumn("seq", F.lit(high).cast("long")).withColumn("position", F.lit(top))
+                # One frame in the order of seq: rows stand at the mark they belong to, and an event of that number is already in them.
+                self.router.serve(self.reader.log(self.spark, at, high).unionByName(ground).unionByName(rest))
+                self.hooks.rows(n)
                 for d in self.router.deliveries:
                     self.router.store.advance_cursor(self.router.pipeline, self.router.holder, d.sink.name, top, high)
                 at = high
