@@ -34,7 +34,7 @@ BLOCK, SHARD = 1 << 20, 1 << 20
 #: Stands for a null id in comparisons, so null ids come last, level with a real id of this value.
 LAST = 2**63 - 1
 
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+_B1 = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 ROWS = "kind int, key long, content long, id long, tag long, start long, n int"
 TEXTS = ROWS + ", bytes binary"
@@ -99,9 +99,15 @@ def runs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int, k: int
     stop = np.append(first[1:], len(anchor))
     inside = np.concatenate(([0], np.cumsum(ok)))
     n = inside[stop] - inside[first]
-    q, inverse2 = _sums(x, _B2), _powers(_B2)[1]
-    content = _mix((q[first + n + width - 1] - q[first]) * inverse2[first] + n.astype(np.uint64))
-    return first, n, g[anchor[first]].view(np.int64), content.view(np.int64)
+    return first, n, g[anchor[first]].view(np.int64), _digests(x, first, n + width - 1)
+
+
+def _digests(x: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """XXH3 of the bytes x[start : start + n], as longs. With the anchor's own 64 bits it tells runs apart by 128."""
+    import xxhash
+
+    whole, digest = memoryview(x), xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(whole[a:b]) for a, b in zip(start.tolist(), (start + n).tolist())), np.uint64, len(start)).view(np.int64)
 
 
 def _group_ends(*keys: np.ndarray) -> np.ndarray:
@@ -300,9 +306,9 @@ def _block(parts: list[tuple[bytes, int, int, int]], width: int, k: int, hot: np
         if split.any():
             m = n[split]
             places = np.repeat(first[split] - np.cumsum(m) + m, m) + np.arange(m.sum())
-            p, q = _sums(x, _B1), _sums(x, _B2)
+            p = _sums(x, _B1)
             k1 = _mix((p[places + width] - p[places]) * _powers(_B1)[1][places]).view(np.int64)
-            k2 = _mix((q[places + width] - q[places]) * _powers(_B2)[1][places]).view(np.int64)
+            k2 = _digests(x, places, np.full(len(places), width))
             first, n = np.concatenate([first[~split], places]), np.concatenate([n[~split], np.ones(len(places), np.int64)])
             key, content = np.concatenate([key[~split], k1]), np.concatenate([content[~split], k2])
     at = np.searchsorted(ends, first, "right")
