@@ -290,6 +290,31 @@ def test_unparsed_texts_are_kept(spark):
     assert [r[0] for r in d.select(postgres.unparsed(F.col("m"), {"n": "int", "t": "string"})).collect()] == [{}, {"n": "one"}]
 
 
+def test_recorded_lag(spark, tmp_path):
+    """Acknowledged positions give the distance to the log's end, never backwards, and an unknown one before the first."""
+    from tideline.config import Postgres
+    from tideline.sources import recorded
+
+    row = lambda seq, kind, lsn: (seq, kind, lsn, 1, [1], None, (["t"], [str(seq)]) if kind == "I" else None, T0 if kind == "B" else None)
+    spark.createDataFrame([row(1, "B", "0/1"), row(2, "I", "0/10"), row(3, "I", "0/40"), row(4, "C", "0/90")], recorded.PG_MESSAGES).coalesce(1).write.parquet(str(tmp_path / "messages"))
+    spark.createDataFrame([(0, 1, "public", "t", ["id"], ["id"])], recorded.PG_RELATIONS).write.parquet(str(tmp_path / "relations"))
+    r = build_reader(Source("postgres", "s", postgres=Postgres(recording=str(tmp_path))))
+    assert r.lag_bytes(spark) is None or r.lag_bytes(spark) == 0
+    r.ack("0/10")
+    assert r.lag_bytes(spark) == 0x30
+    r.ack("0/8")
+    assert r.lag_bytes(spark) == 0x30
+    r.ack("0/40")
+    assert r.lag_bytes(spark) == 0 and r.tables(spark) == {"public.t": ["id"]}
+    records = r.log(spark).orderBy("seq").collect()
+    assert [(x.position, x.after, x.commit_ts is not None) for x in records] == [("0/10", {"id": "2"}, True), ("0/40", {"id": "3"}, True)]
+    late = r.log(spark, 2).collect()
+    assert [(x.seq, x.commit_ts == records[1].commit_ts) for x in late] == [(3, True)]
+    bad = spark.createDataFrame([(5, "I", "0/99", 1, [7], None, (["t"], ["x"]), None)], recorded.PG_MESSAGES)
+    with pytest.raises(Exception, match="unknown relation 7"):
+        r.decode(bad).collect()
+
+
 def test_mysql_tables():
     known = ["shop.a", "shop.b", "other.c"]
     assert mysql.snapshot_tables(["SHOP.a"], known, "") == ["shop.a"] and mysql.snapshot_tables([], known, "shop") == ["shop.a", "shop.b"]

@@ -31,7 +31,7 @@ def test_entry(spark):
 
 
 def test_without_the_llm_parts(tmp_path):
-    """The rest imports when the folders of the llm operators are gone."""
+    """The rest imports, and its tests run, when the folders of the llm operators are gone."""
     import os
     import shutil
     import subprocess
@@ -41,7 +41,10 @@ def test_without_the_llm_parts(tmp_path):
     shutil.copytree(os.path.join(root, "tideline"), tmp_path / "tideline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'materialize_state' in q and not any(k.startswith('op1') for k in q) and 'pipeline' not in q"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    env = os.environ | {"PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    shutil.copytree(os.path.join(root, "tests"), tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_apply.py", "tests/test_sources.py", "tests/test_queries.py", "-k", "not without and (test_apply or test_sources or entry or regression)"], cwd=tmp_path, check=True, env=env)
 
 
 def test_the_whole_log_is_replayed(spark, monkeypatch):

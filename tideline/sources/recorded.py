@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Source as SourceConfig
+from ..functions.positions import parse_lsn
 from ..model import SCHEMA
 from . import mongo, mysql, postgres
 from .base import LogReader
@@ -98,6 +99,19 @@ class PostgresRecording(_Recording):
     def __init__(self, config: SourceConfig):
         super().__init__(config, config.postgres.recording, PG_MESSAGES)
         self.open_: tuple | None = None  # the transaction that the last batch may have broken off in
+        self.progress = postgres.Progress()
+
+    def ack(self, position: str) -> None:
+        """Everything up to a position is with all sinks; never backwards."""
+        self.progress.ack(parse_lsn(position))
+
+    def lag_bytes(self, spark: SparkSession) -> int | None:
+        """Bytes from what was acknowledged to the log's end; unknown before the first acknowledgement."""
+        position, _ = self.end(spark)
+        if position:
+            self.progress.emit(parse_lsn(position))
+            self.progress.idle(parse_lsn(position))
+        return self.progress.lag()
 
     def _relations(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(PG_RELATIONS).parquet(f"{self.root}/relations")
@@ -130,7 +144,8 @@ class PostgresRecording(_Recording):
         return self._records(decode_postgres(d, self._relations(spark), self.source_id, first))
 
     def end(self, spark: SparkSession) -> tuple[str, int]:
-        row = self.stored(spark).agg(F.max_by("lsn", "seq"), F.max("seq")).first()
+        """The last change: commits and other messages have positions of their own, which nothing acknowledges."""
+        row = self.stored(spark).agg(F.max_by("lsn", F.when(F.col("kind").isin(*postgres.ROW_KINDS), F.col("seq"))), F.max("seq")).first()
         return row[0] or "", row[1] or 0
 
 

@@ -208,9 +208,9 @@ class FrameDelivery(Delivery):
 class Router:
     """Commits what all sinks have. Each of them has a query and a cursor of its own, so none waits for another."""
 
-    def __init__(self, pipeline: str, holder: str, store: ControlStore, deliveries: Sequence[Delivery], ack: Callable[[str], None] | None = None, metrics: Registry | None = None):
+    def __init__(self, pipeline: str, holder: str, store: ControlStore, deliveries: Sequence[Delivery], ack: Callable[[str], None] | None = None, metrics: Registry | None = None, lag: Callable[[], int | None] | None = None):
         self.pipeline, self.holder, self.store, self.deliveries = pipeline, holder, store, list(deliveries)
-        self.ack, self.metrics = ack, metrics or Registry()
+        self.ack, self.metrics, self.lag = ack, metrics or Registry(), lag
         self.committed: str | None = None
 
     def commit(self) -> str | None:
@@ -232,6 +232,8 @@ class Router:
             self.metrics.add("tideline_offset_commits_total", pipeline=self.pipeline)
             if self.ack:
                 self.ack(position)
+            if self.lag and (lag := self.lag()) is not None:
+                self.metrics.set("tideline_source_lag_bytes", lag, pipeline=self.pipeline)
         return position
 
     def commit_until(self, over: threading.Event, interval: float) -> None:

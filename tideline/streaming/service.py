@@ -278,7 +278,8 @@ def work(spark: SparkSession, p: Pipeline, instance: str, store: ControlStore, m
         kind = lambda s: FrameDelivery if isinstance(s, MirrorSink) else Delivery
         deliveries = [kind(s)(p.id, instance, s, store, policy(c), metrics) for s, c in zip(sinks, p.sinks)]
         reader = build_reader(p.source)
-        router = Router(p.id, instance, store, deliveries, getattr(reader, "ack", None), metrics)
+        lag = (lambda: reader.lag_bytes(spark)) if hasattr(reader, "lag_bytes") else None
+        router = Router(p.id, instance, store, deliveries, getattr(reader, "ack", None), metrics, lag)
         wanted, mode, size = snapshot_wish(p.source)
         hooks = SnapshotHooks(p.id, instance, store, metrics, mode)
         capture = capture_id(dataclasses.asdict(p.source))
