@@ -134,6 +134,24 @@ def pivot_pairs(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray,
     return np.concatenate(u), np.concatenate(v)
 
 
+def in_company(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows, sorted by h, whose h another row has too. One row at most is held between batches."""
+    held, last = None, None  # a row that may have company in the next batch; an h that is known to have
+    for b in batches:
+        if not len(b):
+            continue
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        h = b["h"].to_numpy()
+        same = np.zeros(len(h), bool)
+        same[1:] = h[1:] == h[:-1]
+        same[:-1] |= same[1:]
+        if last is not None:
+            same |= h == last
+        held = None if same[-1] else b.iloc[-1:]
+        last = h[-1] if same[-1] else None
+        yield b[same]
+
+
 def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, h1, h2, component), one row per row of docs; h1 and h2 hash the text, rows of one component are near copies.
 
@@ -185,6 +203,8 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 
     rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>, fp long"), "near-docs")
     nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "central", "prefix", "sketch", "short", "fp")], F.count("*").alias("copies")), "near-nodes")
+    slim = saved(rows.select("doc_id", "h1", "h2", "k"), "near-rows")
+    drop(rows)
     shorts = [f"s{i}" for i in range(SHORT)]
     arrays = lambda b: (b["h"].to_numpy(), b["node"].to_numpy(), b["n"].to_numpy(np.int64), b["pos"].to_numpy(np.int64))
 
@@ -228,9 +248,13 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
                 keep.append(9 * same >= 4 * (m + n))
             yield b.loc[keep, ["u", "v"]]
 
+    # Most prefix shingles are one text's alone: what is known of a text travels only with those that are not.
+    spread = nodes.select(node.alias("node"), F.posexplode("prefix").alias("pos", "h")).select("h", "node", "pos")
+    shared = saved(spread.repartition(F.col("h")).sortWithinPartitions("h").mapInPandas(in_company, "h long, node long, pos int"), "near-shared")
+
     def met(placed: DataFrame, by: list, how) -> DataFrame:
-        spread = placed.select(node.alias("node"), "n", "comp", "central", "copies", *[F.col("short")[i].alias(c) for i, c in enumerate(shorts)], F.posexplode("prefix").alias("pos", "h"))
-        return spread.repartition(F.col("h")).sortWithinPartitions("h", *by, "node").mapInPandas(how, "u long, v long")
+        about = placed.select(node.alias("node"), "n", "comp", "central", "copies", *[F.col("short")[i].alias(c) for i, c in enumerate(shorts)])
+        return shared.join(about, "node").repartition(F.col("h")).sortWithinPartitions("h", *by, "node").mapInPandas(how, "u long, v long")
 
     def linked(met: DataFrame) -> DataFrame:
         """Pairs of nodes that are similar."""
@@ -264,5 +288,5 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     rest = linked(met(saved(placed, "near-placed"), ["n"], meet))
     edges = near.unionByName(rest)
     roots = components(edges)
-    drop(near, rest)
-    return rows.join(roots.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "h1", "h2", F.coalesce("root", "k").alias("component"))
+    drop(near, rest, shared, least)
+    return slim.join(roots.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "h1", "h2", F.coalesce("root", "k").alias("component"))
