@@ -213,7 +213,9 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
-def test_long_chain(spark):
+@pytest.mark.parametrize("edges", [10**6, 50, 0])
+def test_long_chain(spark, monkeypatch, edges):
+    monkeypatch.setattr(graph, "EDGES", edges)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (None, 7)], "u long, v long")
     assert {(r.node, r.root) for r in graph.components(edges).collect()} == {(i, 0) for i in range(201)} | {(500, 500)}
 

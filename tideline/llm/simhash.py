@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, saved
-from .graph import components
+from .graph import components, forest
 
 BITS = 64
 #: Distinct fingerprints from which on a tile is keyed by more bits: 4 bands of 16 bits, each alone; 5 bands, by two (25 bits or
@@ -62,23 +62,6 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Smallest reachable index for each of n nodes under links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    while (label != label[label]).any():
-        label = label[label]
-    return label
-
-
 def tile_links(x: np.ndarray, radius: int, y: np.ndarray | None = None, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (into x, into y or x) at Hamming distance 0..radius.
 
@@ -134,7 +117,7 @@ def _unit_edges(unit: np.ndarray, fp: np.ndarray, side: np.ndarray, radius: int)
         a_all.append(a + f)
         b_all.append(b + f)
     a, b = (np.concatenate(a_all), np.concatenate(b_all)) if a_all else (np.empty(0, np.int64),) * 2
-    label = _forest(a, b, n)
+    label = forest(a, b, n)
     i = np.flatnonzero(label != np.arange(n))
     return fp[i], fp[label[i]]
 
