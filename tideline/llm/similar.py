@@ -19,6 +19,8 @@ SAMPLE, FREQUENT = 20_000, 200_000
 HELD = 1 << 20
 #: Texts of a shingle that all its others are compared with first.
 PIVOTS = 4
+#: Texts whose prefixes are handed on at once.
+SOME = 1024
 #: Longs of the sketch that travels with a prefix shingle.
 SHORT = 4
 BROADCAST_ROWS = 200_000
@@ -174,11 +176,15 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     def key(parts: list[bytes]) -> bytes:
         return xxhash.xxh128_digest(b" ".join(parts))
 
+    # Words are many objects: one text's at a time.
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [words_of(t) for t in b["text"]]
-            keys = [key(p) for p in parts]
-            yield pd.DataFrame({"k": keys, "node": [int.from_bytes(k[:8], "big", signed=True) for k in keys], "s": [shingles(p, words).tobytes() for p in parts]})
+            rows = []
+            for t in b["text"]:
+                parts = words_of(t)
+                k = key(parts)
+                rows.append((k, int.from_bytes(k[:8], "big", signed=True), shingles(parts, words).tobytes()))
+            yield pd.DataFrame(rows, columns=["k", "node", "s"])
 
     def numbers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -193,13 +199,19 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     order = np.argsort(names)
     known = docs.sparkSession.sparkContext.broadcast((names[order], counts[order]))
 
+    def about(text: str | None) -> tuple:
+        parts = words_of(text)
+        found = shingles(parts, words)
+        often = frequency(found, *known.value)
+        central = int(1000 * (often > 0).mean()) if len(often) else 0
+        return key(parts), len(found), central, prefix(found, often).view(np.int64), sketch(found), short_sketch(found), simhash.of_hashes(found)
+
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [words_of(t) for t in b["text"]]
-            found = [shingles(p, words) for p in parts]
-            often = [frequency(f, *known.value) for f in found]
-            central = [int(1000 * (o > 0).mean()) if len(o) else 0 for o in often]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "h1": b["h1"], "h2": b["h2"], "k": [key(p) for p in parts], "n": np.fromiter(map(len, found), np.int64, len(found)), "central": central, "prefix": [prefix(f, o).view(np.int64) for f, o in zip(found, often)], "sketch": [sketch(f) for f in found], "short": [short_sketch(f) for f in found], "fp": [simhash.of_hashes(f) for f in found]})
+            for at in range(0, len(b), SOME):
+                some = b.iloc[at : at + SOME]
+                out = pd.DataFrame([about(t) for t in some["text"]], columns=["k", "n", "central", "prefix", "sketch", "short", "fp"])
+                yield pd.concat([some[["doc_id", "h1", "h2"]].reset_index(drop=True), out], axis=1)
 
     rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>, fp long"), "near-docs")
     nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "central", "prefix", "sketch", "short", "fp")], F.count("*").alias("copies")), "near-nodes")
