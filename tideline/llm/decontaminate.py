@@ -51,12 +51,16 @@ def _good(docs: DataFrame, bench: DataFrame, width: int = 12, min_literals: floa
 
     def windows(w: int) -> Column:
         places = F.when(F.size("hs") >= w, F.sequence(F.lit(1), F.size("hs") - w + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(w), F.slice("hs", i, w)).alias("h")))
-
-    # One pass over the texts, whatever widths there are.
-    rows = hashed.select("t1", "t2", F.explode(F.concat(*map(windows, widths))).alias("w")).select("t1", "t2", "w.*")
-    keys = wins.select("h").distinct()
-    found = rows.join(F.broadcast(keys) if small else keys, "h", "left_semi")
+        return F.transform(places, lambda i: F.xxhash64(F.lit(w), F.slice("hs", i, w)))
+
+    # One pass over the texts, whatever widths there are: the windows of each width, one after the other, as bare numbers.
+    rows = hashed.select("t1", "t2", F.size("hs").alias("n"), F.posexplode(F.concat(*map(windows, widths))).alias("at", "h"))
+    keys = wins.select("h", "width").distinct()
+    found = rows.join(F.broadcast(keys) if small else keys, "h")
+    before: Column = F.lit(0)
+    for i, w in enumerate(widths[1:], 1):
+        before = F.when(F.col("width") == w, sum((F.greatest(F.col("n") - x + 1, F.lit(0)) for x in widths[:i]), F.lit(0))).otherwise(before)
+    found = found.withColumn("pos", (F.col("at") - before + 1).cast("int"))
     # Matched positions, per text; then their raw tokens are fetched from the few texts that match.
     spots = saved(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("pos", "h")).alias("spots")), "bench-spots")
     few = spots.count() <= BROADCAST_ROWS // 20
