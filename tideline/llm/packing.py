@@ -44,6 +44,7 @@ class Tokens:
         self.many = self._by_tokenizers
         try:
             self.fast = self._same_vocabulary(path)
+            self.added = sorted(self.fast.special_tokens_set)
             if self._by_tiktoken(PROBE) == self._by_tokenizers(PROBE):
                 self.many = self._by_tiktoken
         except (ImportError, KeyError, ValueError):
@@ -68,7 +69,8 @@ class Tokens:
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def _by_tiktoken(self, chunks: list[str]) -> list[list[int]]:
-        return [self.fast.encode(c, allowed_special="all") for c in chunks]
+        plain, added = self.fast.encode_ordinary, self.added
+        return [self.fast.encode(c, allowed_special="all") if any(t in c for t in added) else plain(c) for c in chunks]
 
     def _by_tokenizers(self, chunks: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
