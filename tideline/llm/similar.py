@@ -96,7 +96,7 @@ def may_match(x: bytes, m: int, y: bytes, n: int) -> bool:
 def _fit(n: np.ndarray, pos: np.ndarray, short: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether set sizes, places of the shingle and short sketches of rows i and j allow similarity 0.8."""
     least = np.minimum(n[i], n[j])
-    most = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+    most = np.minimum(n[i] - pos[i], n[j] - pos[j])  # as if no rarer shingle were common: so it is at the first that a pair shares
     ok = (5 * least >= 4 * np.maximum(n[i], n[j])) & (9 * most >= 4 * (n[i] + n[j]))
     ok[ok] = ~_differ(short[i[ok]], short[j[ok]], n[i[ok]], n[j[ok]])
     return ok
