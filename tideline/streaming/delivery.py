@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import queue
+import math
+import pickle
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +46,89 @@ def encoded(df: DataFrame, encoding: str = "json") -> DataFrame:
     return df.select("*", build().alias(PAYLOAD)).withColumn("commit_ts", F.unix_micros("commit_ts"))
 
 
+#: Events to a block, and how blocks are compressed on their way to the driver.
+BLOCK, CODEC = 500, "zstd"
+
+
+def _values(column: pa.Array) -> list:
+    """A column's values as they stand in an event; a map is a dict."""
+    kind = column.type
+    if pa.types.is_map(kind):
+        known: dict = {}
+        keys, items, at = [known.setdefault(k, k) for k in _values(column.keys)], _values(column.items), column.offsets.to_numpy().tolist()
+        return [dict(zip(keys[a:b], items[a:b])) if there else None for a, b, there in zip(at, at[1:], column.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    if pa.types.is_string(kind) or pa.types.is_integer(kind) and not column.null_count:  # by far the fastest way, and the same values
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist(maps_as_pydicts="strict")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs on the executors: events as dicts, pickled by blocks, so the driver has little to do for each. A text that comes again in a block is sent once."""
+    for batch in batches:
+        columns = {}
+        for name, column in zip(batch.schema.names, batch.columns):
+            values = _values(column)
+            if name == "commit_ts":
+                values = [None if v is None else EPOCH + timedelta(microseconds=v) for v in values]
+            elif name != PAYLOAD and pa.types.is_string(column.type):
+                known: dict = {}
+                values = [known.setdefault(v, v) for v in values]
+            columns[name] = values
+        events = [dict(zip(columns, row)) for row in zip(*columns.values())]
+        texts = [pickle.dumps(events[i : i + BLOCK], pickle.HIGHEST_PROTOCOL) for i in range(0, len(events), BLOCK)]
+        yield pa.RecordBatch.from_arrays([pa.array(map(len, texts), pa.int64()), pa.array([pa.compress(t, CODEC, asbytes=True) for t in texts], pa.binary())], ["size", "block"])
+
+
 def rows(df: DataFrame) -> Iterator[dict]:
     """Events of an encoded frame in the order of seq, partition by partition."""
-    for r in df.orderBy("seq").toLocalIterator(prefetchPartitions=True):
-        event = r.asDict(recursive=True)
-        if event["commit_ts"] is not None:
-            event["commit_ts"] = EPOCH + timedelta(microseconds=event["commit_ts"])
-        yield event
+    for r in df.orderBy("seq").mapInArrow(_blocks, "size long, block binary").toLocalIterator(prefetchPartitions=True):
+        yield from pickle.loads(pa.decompress(bytes(r.block), r.size, CODEC, asbytes=True))
+
+
+class Held:
+    """At most size events (0: any number) between the thread that reads them and the one that delivers them. The lock is only taken by who has to wait, and to wake them."""
+
+    def __init__(self, size: int):
+        self.size, self.events, self.ended = size or math.inf, deque(), False
+        self.changed, self.full, self.idle = threading.Condition(), False, False
+
+    def __len__(self) -> int:
+        return len(self.events)
+
+    def _wake(self) -> None:
+        with self.changed:
+            self.full = self.idle = False
+            self.changed.notify_all()
+
+    def put(self, event: dict, over: Callable[[], bool]) -> bool:
+        """Whether it was taken before all was over."""
+        while len(self.events) >= self.size:
+            if over():
+                return False
+            with self.changed:
+                self.full = True
+                if len(self.events) >= self.size:
+                    self.changed.wait(0.1)
+        self.events.append(event)
+        if self.idle:
+            self._wake()
+        return True
+
+    def end(self) -> None:
+        self.ended = True
+        self._wake()
+
+    def take(self, most: int, wait: float) -> list[dict]:
+        """Up to `most` of the oldest; none if none came in time."""
+        if not self.events and not self.ended:
+            with self.changed:
+                self.idle = True
+                if not self.events and not self.ended:
+                    self.changed.wait(wait)
+        out = [self.events.popleft() for _ in range(min(most, len(self.events)))]
+        if self.full:
+            self._wake()
+        return out
 
 
 class Delivery:
@@ -108,26 +187,18 @@ class Delivery:
 
     def run(self, events: Iterable[dict], cursor: bool = True) -> int:
         """All events in order, in batches; the cursor follows each. The number of events."""
-        held: queue.Queue = queue.Queue(self.policy.queue_size)
-        over, failed = threading.Event(), []
-
-        def put(item) -> bool:
-            while not (over.is_set() or self.stop.is_set()):
-                try:
-                    held.put(item, timeout=0.1)
-                    return True
-                except queue.Full:
-                    continue
-            return False
+        held, over, failed = Held(self.policy.queue_size), threading.Event(), []
+        ended = lambda: over.is_set() or self.stop.is_set()
 
         def feed() -> None:
             try:
                 for e in events:
-                    if not put(e):
+                    if ended() or not held.put(e, ended):
                         return
             except BaseException as e:  # noqa: BLE001  raised again below
                 failed.append(e)
-            put(None)
+            finally:
+                held.end()
 
         feeder = threading.Thread(target=feed, daemon=True)
         feeder.start()
@@ -146,31 +217,24 @@ class Delivery:
             feeder.join()
             self.metrics.set("tideline_queue_events", 0, **self.labels)
 
-    def _batches(self, held: queue.Queue) -> Iterator[list[dict]]:
+    def _batches(self, held: Held) -> Iterator[list[dict]]:
         """What the queue holds, cut by number and by time; ends with the events."""
         batch: list[dict] = []
         due = 0.0
         while True:
-            self.metrics.set("tideline_queue_events", held.qsize(), **self.labels)
+            self.metrics.set("tideline_queue_events", len(held), **self.labels)
             if self.stop.is_set():
                 raise Stopped(self.sink.name)
-            try:
-                e = held.get(timeout=min(0.1, max(due - time.monotonic(), 0)) if batch else 0.1)
-            except queue.Empty:
-                if batch and time.monotonic() >= due:
-                    yield batch
-                    batch = []
-                continue
-            if e is None:
-                if batch:
-                    yield batch
-                return
-            if not batch:
+            over = held.ended
+            got = held.take(self.policy.batch_max_events - len(batch), min(0.1, max(due - time.monotonic(), 0)) if batch else 0.1)
+            if got and not batch:
                 due = time.monotonic() + self.policy.batch_max_wait
-            batch.append(e)
-            if len(batch) >= self.policy.batch_max_events:
+            batch += got
+            if batch and (len(batch) >= self.policy.batch_max_events or not got and (over or time.monotonic() >= due)):
                 yield batch
                 batch = []
+            elif over and not got:
+                return
 
     def serve(self, df: DataFrame, cursor: bool = True) -> int:
         """All events of a batch frame. Sinks of this kind are single ordered consumers; a mirror kept as a table is folded in place instead."""
