@@ -61,7 +61,7 @@ def test_held_hands_over_many_at_a_time():
     assert got == list(range(20000)) and most <= 100 and takes < 10000
 
 
-@pytest.mark.parametrize("name", ["stdout_sink_lines", "kafka_sink_messages"])
+@pytest.mark.parametrize("name", ["stdout_sink_lines", "kafka_sink_messages", "nats_sink_messages"])
 def test_sent_messages_do_not_gather_on_the_driver(spark, monkeypatch, name):
     monkeypatch.setattr(Recorder, "ROWS", 100)
     d = QUERIES[name](spark, SF)
