@@ -10,6 +10,7 @@ from tideline.plans.catalog import QUERIES
 from tideline.plans.scratch import Recorder
 from tideline.sources.changelog import change_log
 from tideline.streaming import delivery
+from tideline.streaming.control import ControlStore
 from tideline.streaming.delivery import encoded, rows
 
 
@@ -67,3 +68,24 @@ def test_sent_messages_do_not_gather_on_the_driver(spark, monkeypatch, name):
     d = QUERIES[name](spark, SF)
     n = change_log(spark, SF).count()
     assert max(parts(d)) <= 100 and d.count() == n and d.agg(F.countDistinct("seq"), F.min("seq"), F.max("seq")).first() == (n, 1, n)
+
+
+def test_parking_costs_the_same_however_much_is_parked():
+    """The next number is found by the key, without a look at what is parked; pages lose nothing."""
+    store = ControlStore(":memory:")
+    store.migrate()
+    store.acquire("p", "me", 600)
+    steps = []
+
+    def parked(n):
+        count = [0]
+        store.db.set_progress_handler(lambda: count.__setitem__(0, count[0] + 1), 10)
+        store.dead_letter("p", "me", "s", f"0/{n}", 2, "bad", "{}")
+        store.db.set_progress_handler(None, 0)
+        steps.append(count[0])
+
+    for n in range(2000):
+        parked(n)
+    assert steps[-1] <= steps[10] + 5
+    want = [("s", f"0/{n}", 2, "bad", "{}") for n in range(2000)]
+    assert store.dead_letters("p") == want and [list(store.parked("p", k)) == want for k in (1, 1000, 1999, 2000, 5000)] == [True] * 5

@@ -12,6 +12,7 @@ import json
 import sqlite3
 import threading
 import time
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 DDL = """
@@ -28,7 +29,7 @@ class LeaseLost(RuntimeError):
 
 
 class ControlStore:
-    """Open with a file path, or ':memory:' for one process. `now` is a parameter for tests."""
+    """Open with a file path, or for one process ':memory:' or '' (a temporary file). `now` is a parameter for tests."""
 
     def __init__(self, path: str):
         self.db = sqlite3.connect(path, check_same_thread=False, isolation_level=None, timeout=30)
@@ -146,9 +147,22 @@ class ControlStore:
 
     def dead_letter(self, pipeline: str, holder: str, sink: str, position: str, attempts: int, error: str, event: str, now: float | None = None) -> None:
         with self._leading(pipeline, holder, now) as put:
-            (number,) = self.db.execute("SELECT coalesce(max(seq) + 1, 0) FROM marks WHERE pipeline = ? AND kind = ?", (pipeline, PARKED)).fetchone()
+            last = self.db.execute("SELECT seq FROM marks WHERE pipeline = ? AND kind = ? ORDER BY name DESC LIMIT 1", (pipeline, PARKED)).fetchone()  # names sort as numbers do: one look at the key
+            number = last[0] + 1 if last else 0
             put(PARKED, f"{number:012d}", number, sink=sink, position=position, attempts=attempts, error=error, event=event)
 
     def dead_letters(self, pipeline: str) -> list[tuple]:
         """(sink, position, attempts, error, event), oldest first."""
-        return [tuple(body[k] for k in ("sink", "position", "attempts", "error", "event")) for _, _, body in self._marks(pipeline, PARKED)]
+        return list(self.parked(pipeline))
+
+    def parked(self, pipeline: str, page: int = 1000) -> Iterator[tuple]:
+        """The same one after the other, read in pages."""
+        after = ""
+        while True:
+            with self.lock:
+                rows = self.db.execute("SELECT name, body FROM marks WHERE pipeline = ? AND kind = ? AND name > ? ORDER BY name LIMIT ?", (pipeline, PARKED, after, page)).fetchall()
+            for after, text in rows:  # noqa: B007  the last name is where the next page begins
+                body = json.loads(text)
+                yield tuple(body[k] for k in ("sink", "position", "attempts", "error", "event"))
+            if len(rows) < page:
+                return
