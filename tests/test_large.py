@@ -89,3 +89,19 @@ def test_parking_costs_the_same_however_much_is_parked():
     assert steps[-1] <= steps[10] + 5
     want = [("s", f"0/{n}", 2, "bad", "{}") for n in range(2000)]
     assert store.dead_letters("p") == want and [list(store.parked("p", k)) == want for k in (1, 1000, 1999, 2000, 5000)] == [True] * 5
+
+
+def test_a_snapshot_that_dies_in_a_table_of_one_chunk(spark, tmp_path):
+    """Truncates leave fewer rows than a chunk holds, as no key comes again: the leader still dies before it is done."""
+    import duckdb
+
+    from tests.duck import spark_rows, sql_rows
+    from tideline.plans.catalog import ORACLE
+
+    spark.range(2000).selectExpr("id as event_id", "timestamp_ntz '2024-01-01' as ts", "id as user_id", "case when id % 5 = 0 then 'signup' else 'view' end as event_type", "double(id) as value", "'{}' as props").where("event_id < 1000").coalesce(1).write.parquet(str(tmp_path / "e"))
+    (part,) = (tmp_path / "e").glob("*.parquet")
+    (tmp_path / "events.parquet").write_bytes(part.read_bytes())
+    c = duckdb.connect()
+    c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = QUERIES["snapshot_crash_convergence"](spark, str(tmp_path))
+    assert spark_rows(got, str(tmp_path / "out"), c) == sql_rows(c, ORACLE["snapshot_crash_convergence"])

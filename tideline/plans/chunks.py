@@ -191,21 +191,31 @@ def chunked_bootstrap_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PAIRS}, {STATE} select id, slot, kind, value, pp.p as props from state")
 def snapshot_crash_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A leader that dies after its second chunk, and one that goes on from what the control store holds: the same state."""
+    """A leader that dies after its second chunk, or before it says that all is done, and one that goes on from what the control store holds: the same state."""
     path, config, n, size = _live(spark, sf_dir)
     mirror = folder(spark, "mirror")
     router = _Router(spark, mirror, "public.users", KEYS, COLUMNS)
     reader, accepted = LiveLog(config, n // 4, max(1, n // 16)), []
-    over = lambda: len(accepted) >= 2
-    save = router.hooks.chunk_accepted
-    router.hooks.chunk_accepted = lambda table, key: accepted.append(save(table, key))
+    save, complete = router.hooks.chunk_accepted, router.hooks.completed
+
+    def chunk_accepted(table: str, key: str) -> None:
+        save(table, key)
+        accepted.append(key)
+        if len(accepted) == 2:
+            raise Stopped(table)
+
+    def completed(*position) -> None:
+        raise Stopped("public.users")  # truncates leave a table of fewer than two chunks
+
+    router.hooks.chunk_accepted, router.hooks.completed = chunk_accepted, completed
     try:
-        Bootstrap(spark, reader, router, router.hooks, over).begin(plan_resume(None, None), True, "chunked", size, "slot")
+        Bootstrap(spark, reader, router, router.hooks).begin(plan_resume(None, None), True, "chunked", size, "slot")
     except Stopped:
         pass
+    router.hooks.chunk_accepted, router.hooks.completed = save, complete
     store = router.store
     plan = plan_resume(store.snapshot_state("p"), *store.progress("p"))
-    assert plan.chunk_table == "public.users" and not plan.force_bootstrap
+    assert plan.force_bootstrap != bool(accepted) and plan.chunk_table == ("public.users" if accepted else None)
     start = Bootstrap(spark, reader, router, router.hooks).begin(plan, True, "chunked", size, "slot")
     assert store.snapshot_state("p")["phase"] == "done"
     router.stream(reader, start)
