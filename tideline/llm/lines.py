@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from .common import drop, free, saved, text_key
 
 #: Log2 of the buckets of a HyperLogLog sketch; its relative standard error is about 1.04 / sqrt(2 ** LG_K).
 LG_K = 12
-#: Rows of 24 bytes up to which a checked table is broadcast.
+#: Rows of 24 bytes up to which a checked table is broadcast, or sent along with the look at each document's lines.
 BROADCAST_ROWS = 200_000
 
 
@@ -47,6 +51,35 @@ def boilerplate(docs: DataFrame, min_sites: int = 6, id_col: str = "doc_id", tex
     return out
 
 
+def _finder(bad: DataFrame) -> Callable[..., Column]:
+    """(id, h1 of every line, h2 of every line) -> places of the lines to cut, by binary search in the boilerplate that goes with it."""
+    t = bad.toArrow()
+    k1, k2 = (t.column(c).to_numpy().astype(np.int64) for c in ("h1", "h2"))
+    first = t.column("first_id")
+    none, first = first.is_null().to_numpy(), first.fill_null(0).to_numpy().astype(np.int64)
+    order = np.lexsort((k2, k1))
+    k1, k2, none, first = k1[order], k2[order], none[order], first[order]
+    most = int(np.unique(k1, return_counts=True)[1].max()) if len(k1) else 0  # keys that share their first half
+
+    @F.arrow_udf("array<int>")
+    def find(ids: pa.Array, h1: pa.Array, h2: pa.Array) -> pa.Array:
+        sizes = h1.value_lengths().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        a, b = h1.flatten().to_numpy(), h2.flatten().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        no_id, own = ids.is_null().to_numpy(zero_copy_only=False)[row], ids.fill_null(0).to_numpy()[row]
+        at, cut = np.searchsorted(k1, a), np.zeros(len(a), bool)
+        for step in range(most):
+            k = np.minimum(at + step, len(k1) - 1)
+            same = (k1[k] == a) & (k2[k] == b) & (at + step < len(k1))
+            cut |= same & ~((none[k] & no_id) | (~none[k] & ~no_id & (first[k] == own)))
+        place = (np.arange(len(a)) - starts[row])[cut].astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[cut], minlength=len(sizes)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(place))
+
+    return find
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = 6, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with boilerplate lines cut from the text, plus n_lines and n_removed.
 
@@ -58,20 +91,31 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 6, id_col: str = "doc_i
     that repeat get equal results, null ids sort last (rows without id count as one
     document), and an empty table stays empty.
     Columns named n_lines or n_removed are replaced; others may have any name.
+    With up to BROADCAST_ROWS boilerplate lines every document is cut where it lies; with more, the places
+    of the cuts are joined to the documents.
     """
     bad = boilerplate(docs, min_sites, id_col, text_col, site_col)
-    small = bad.count() <= BROADCAST_ROWS
     i, p1, p2, gone = free(docs, "id", "t1", "t2", "gone")
-    hits = _lines(docs, id_col, text_col, site_col).join(F.broadcast(bad) if small else bad, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
+    own = docs.drop("n_lines", "n_removed")
+    if bad.count() <= BROADCAST_ROWS:
+        lines = F.split(F.coalesce(text_col, F.lit("")), "\n")
+        h1, h2 = F.transform(lines, lambda x: _key(x)[0]), F.transform(lines, lambda x: _key(x)[1])
+        found = _finder(bad)(F.col(id_col).cast("long"), h1, h2)
+        return _cut(own.withColumn(gone, found).withColumn(gone, F.when(F.size(gone) > 0, F.col(gone))), own.columns, text_col, gone)
+    hits = _lines(docs, id_col, text_col, site_col).join(bad, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id")))
     # Rows of one text lose the same lines but where one of them keeps a line as the first to hold it.
     cut_at = saved(hits.groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone")), "line-cuts")
     side = cut_at.select(F.col("id").alias(i), F.col("t1").alias(p1), F.col("t2").alias(p2), F.col("gone").alias(gone))
-    own = docs.drop("n_lines", "n_removed")
     t1, t2 = text_key(F.col(text_col))
     d = own.join(F.broadcast(side) if cut_at.count() <= BROADCAST_ROWS // 8 else side, F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (t1 == F.col(p1)) & (t2 == F.col(p2)), "left")
+    return _cut(d, own.columns, text_col, gone)
+
+
+def _cut(d: DataFrame, columns: list[str], text_col: str, gone: str) -> DataFrame:
+    """The columns, with the lines at the places in `gone` (null: none) cut from the text, and both counts."""
     parts = F.split(text_col, "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone))
     cut = F.array_join(F.transform(rest, lambda k: F.get(parts, k)), "\n")
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(F.regexp_replace(text_col, "[^\n]", "")) + 1).cast("long")
     lost = F.coalesce(F.size(gone), F.lit(0)).cast("long")
-    return d.select(*[F.when(F.col(gone).isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own.columns], n.alias("n_lines"), lost.alias("n_removed"))
+    return d.select(*[F.when(F.col(gone).isNotNull(), cut).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in columns], n.alias("n_lines"), lost.alias("n_removed"))
