@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tideline.plans.catalog import QUERIES
+from tideline.plans.routing import Counting, routed
 from tideline.plans.scratch import Recorder
 from tideline.sources.changelog import change_log
 from tideline.streaming import delivery
@@ -105,3 +106,28 @@ def test_a_snapshot_that_dies_in_a_table_of_one_chunk(spark, tmp_path):
     c.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
     got = QUERIES["snapshot_crash_convergence"](spark, str(tmp_path))
     assert spark_rows(got, str(tmp_path / "out"), c) == sql_rows(c, ORACLE["snapshot_crash_convergence"])
+
+
+def test_router_encodes_once_for_all_sinks(spark, monkeypatch):
+    """Sinks of one encoding read the same blocks, and each gets every event in order, through a queue shorter than a block."""
+    calls, real = [], delivery.encoded
+    monkeypatch.setattr(delivery, "encoded", lambda df, encoding="json": calls.append(encoding) or real(df, encoding))
+    monkeypatch.setattr(delivery, "PART", 300)  # several partitions
+    sinks = [Counting("a"), Counting("b"), Counting("c", 3)]
+    log = change_log(spark, SF)
+    routed(spark, log, sinks, batch_max_events=50, queue_size=10)
+    n = log.count()
+    assert calls == ["json"] and [(s.got, s.late, s.last) for s in sinks] == [(n, 0, n)] * 3
+
+
+def test_blocks_are_unpacked_once_for_readers_near_each_other(spark, monkeypatch):
+    unpacked, real = [], delivery.pickle.loads
+    with delivery.kept_blocks(change_log(spark, SF), "json", "json") as made:
+        blocks = made["json"]
+        found = [(r.size, bytes(r.block)) for r in blocks.df.collect()]
+        monkeypatch.setattr(delivery.pickle, "loads", lambda b: unpacked.append(len(b)) or real(b))
+        first, second = ([blocks._events(i, b, size) for i, (size, b) in enumerate(found)] for _ in range(2))
+        assert first == second and len(unpacked) == len(found) and not blocks.near and not blocks.bytes
+        blocks.newest, blocks.NEAR = -1, 0  # nothing waits: who comes later unpacks for itself
+        assert [blocks._events(i, b, size) for i, (size, b) in enumerate(found) for _ in range(2)] == [e for e in first for _ in range(2)]
+        assert len(unpacked) == 3 * len(found) and not blocks.near

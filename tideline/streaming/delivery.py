@@ -8,8 +8,10 @@ import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,8 +48,8 @@ def encoded(df: DataFrame, encoding: str = "json") -> DataFrame:
     return df.select("*", build().alias(PAYLOAD)).withColumn("commit_ts", F.unix_micros("commit_ts"))
 
 
-#: Events to a block, and how blocks are compressed on their way to the driver.
-BLOCK, CODEC = 500, "zstd"
+#: Events to a block, how blocks are compressed on their way to the driver, and events to a partition of them: the driver fetches these one by one.
+BLOCK, CODEC, PART = 500, "zstd", 50_000
 
 
 def _values(column: pa.Array) -> list:
@@ -79,10 +81,76 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(len, texts), pa.int64()), pa.array([pa.compress(t, CODEC, asbytes=True) for t in texts], pa.binary())], ["size", "block"])
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """Blocks of the events of an encoded frame, in its order."""
+    return df.mapInArrow(_blocks, "size long, block binary")
+
+
+class Blocks:
+    """Packed events that some readers go through, each at its own pace.
+
+    A block is unpacked once for those that are near each other, so they get the same events, which none may change. At most NEAR bytes
+    of blocks wait for the readers behind; one that falls further back unpacks for itself.
+    """
+
+    NEAR = 16_000_000
+
+    def __init__(self, df: DataFrame, readers: int = 1):
+        self.df, self.readers, self.lock = df, readers, threading.Lock()
+        self.newest, self.near, self.bytes = -1, {}, 0  # by number: the block as it came, its events, its size, the readers that may still come
+
+    def _drop(self, number: int) -> None:
+        self.bytes -= self.near.pop(number)[2]
+
+    def _events(self, number: int, block: bytes, size: int) -> list[dict]:
+        unpack = lambda: pickle.loads(pa.decompress(block, size, CODEC, asbytes=True))
+        if self.readers < 2:
+            return unpack()
+        with self.lock:
+            known = self.near.get(number)
+            if known and known[0] == block:
+                known[3] -= 1
+                if not known[3]:
+                    self._drop(number)
+                return known[1]
+            if number > self.newest:
+                self.newest, events = number, unpack()
+                self.near[number] = [block, events, size, self.readers - 1]
+                self.bytes += size
+                while self.bytes > self.NEAR:
+                    self._drop(next(iter(self.near)))
+                return events
+        return unpack()
+
+    def __iter__(self) -> Iterator[list[dict]]:
+        """The events of each block, partition by partition."""
+        for number, r in enumerate(self.df.toLocalIterator(prefetchPartitions=True)):
+            yield self._events(number, bytes(r.block), r.size)
+
+
 def rows(df: DataFrame) -> Iterator[dict]:
     """Events of an encoded frame in the order of seq, partition by partition."""
-    for r in df.orderBy("seq").mapInArrow(_blocks, "size long, block binary").toLocalIterator(prefetchPartitions=True):
-        yield from pickle.loads(pa.decompress(bytes(r.block), r.size, CODEC, asbytes=True))
+    return chain.from_iterable(Blocks(packed(df.orderBy("seq"))))
+
+
+@contextmanager
+def kept_blocks(df: DataFrame, *encodings: str) -> Iterator[dict[str, Blocks]]:
+    """By encoding (one a reader), blocks of a frame's events in the order of seq, made by all executors at once and kept there meanwhile.
+
+    A local iterator runs a job a partition, one after the other: what it reads must be ready, and can then be read by many.
+    Events are sorted before they are encoded, so no payload is shuffled.
+    """
+    made: dict[str, Blocks] = {}
+    try:
+        parts = max(1, math.ceil(df.count() / PART)) if encodings else 0
+        for encoding in encodings:
+            if encoding not in made:
+                made[encoding] = Blocks(packed(encoded(df.repartitionByRange(parts, "seq").sortWithinPartitions("seq"), encoding)).persist(), encodings.count(encoding))
+                made[encoding].df.count()
+        yield made
+    finally:
+        for blocks in made.values():
+            blocks.df.unpersist()
 
 
 class Held:
@@ -102,16 +170,25 @@ class Held:
 
     def put(self, event: dict, over: Callable[[], bool]) -> bool:
         """Whether it was taken before all was over."""
-        while len(self.events) >= self.size:
+        return self.put_all([event], over)
+
+    def put_all(self, events: list[dict], over: Callable[[], bool]) -> bool:
+        """The same for many, as many at once as there is room for."""
+        at = 0
+        while at < len(events):
+            room = min(self.size - len(self.events), len(events) - at)
+            if room > 0:
+                self.events.extend(events[at : at + room])
+                at += room
+                if self.idle:
+                    self._wake()
+                continue
             if over():
                 return False
             with self.changed:
                 self.full = True
                 if len(self.events) >= self.size:
                     self.changed.wait(0.1)
-        self.events.append(event)
-        if self.idle:
-            self._wake()
         return True
 
     def end(self) -> None:
@@ -187,13 +264,17 @@ class Delivery:
 
     def run(self, events: Iterable[dict], cursor: bool = True) -> int:
         """All events in order, in batches; the cursor follows each. The number of events."""
+        return self.run_lists(([e] for e in events), cursor)
+
+    def run_lists(self, lists: Iterable[list[dict]], cursor: bool = True) -> int:
+        """The same for events that come in lists."""
         held, over, failed = Held(self.policy.queue_size), threading.Event(), []
         ended = lambda: over.is_set() or self.stop.is_set()
 
         def feed() -> None:
             try:
-                for e in events:
-                    if ended() or not held.put(e, ended):
+                for some in lists:
+                    if ended() or not held.put_all(some, ended):
                         return
             except BaseException as e:  # noqa: BLE001  raised again below
                 failed.append(e)
@@ -236,9 +317,18 @@ class Delivery:
             elif over and not got:
                 return
 
+    @property
+    def encoding(self) -> str:
+        return getattr(self.sink, "encoding", "json")
+
     def serve(self, df: DataFrame, cursor: bool = True) -> int:
         """All events of a batch frame. Sinks of this kind are single ordered consumers; a mirror kept as a table is folded in place instead."""
-        return self.run(rows(encoded(df, getattr(self.sink, "encoding", "json"))), cursor)
+        with kept_blocks(df, self.encoding) as blocks:
+            return self.take(df, blocks, cursor)
+
+    def take(self, df: DataFrame, blocks: dict[str, Blocks], cursor: bool = True) -> int:
+        """The same from the frame's kept blocks, which all sinks of an encoding share."""
+        return self.run_lists(blocks[self.encoding], cursor)
 
     def foreach_batch(self, df: DataFrame, batch_id: int) -> None:
         """For writeStream.foreachBatch of a query of the sink's own."""
@@ -260,6 +350,9 @@ class Frame:
 class FrameDelivery(Delivery):
     """The way of a sink that takes whole frames: nothing passes through the driver but a count and the last position."""
 
+    def take(self, df: DataFrame, blocks: dict[str, Blocks], cursor: bool = True) -> int:
+        return self.serve(df, cursor)
+
     def serve(self, df: DataFrame, cursor: bool = True) -> int:
         n, seq, position = df.agg(F.count("*"), F.max("seq"), F.max_by("position", "seq")).first()
         if n:
@@ -315,32 +408,29 @@ class Router:
                 return
 
     def serve(self, df: DataFrame, cursor: bool = True) -> None:
-        """A batch frame to all sinks, side by side; the first error once all have ended."""
+        """A batch frame to all sinks, side by side; the first error once all have ended. It is sorted and encoded once for all that read events."""
         errors: list[Exception] = []
 
-        def one(d: Delivery) -> None:
+        def one(d: Delivery, blocks: dict[str, Blocks]) -> None:
             try:
-                d.serve(df, cursor)
+                d.take(df, blocks, cursor)
             except Exception as e:  # noqa: BLE001  reported below
                 errors.append(e)
 
-        threads = [threading.Thread(target=one, args=(d,)) for d in self.deliveries]
-        for t in threads:
-            t.start()
-        for t in threads:
-            t.join()
+        with kept_blocks(df, *[d.encoding for d in self.deliveries if not isinstance(d, FrameDelivery)]) as blocks:
+            threads = [threading.Thread(target=one, args=(d, blocks)) for d in self.deliveries]
+            for t in threads:
+                t.start()
+            for t in threads:
+                t.join()
         lost = [e for e in errors if isinstance(e, LeaseLost)]
         if errors:
             raise (lost or errors)[0]
 
     def foreach_batch(self, df: DataFrame, batch_id: int) -> None:
         """For one query that feeds all sinks; a slow one holds the others up. service.work gives each a query instead."""
-        held = df.persist()
-        try:
-            self.metrics.add("tideline_events_read_total", held.count(), pipeline=self.pipeline)
-            self.serve(held)
-        finally:
-            held.unpersist()
+        self.metrics.add("tideline_events_read_total", df.count(), pipeline=self.pipeline)
+        self.serve(df)
         self.commit()
 
     def close(self) -> None:
