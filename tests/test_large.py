@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
+from tideline.plans import runtime
 from tideline.plans.catalog import QUERIES
 from tideline.plans.routing import Counting, routed
 from tideline.plans.scratch import Recorder
@@ -131,3 +132,11 @@ def test_blocks_are_unpacked_once_for_readers_near_each_other(spark, monkeypatch
         blocks.newest, blocks.NEAR = -1, 0  # nothing waits: who comes later unpacks for itself
         assert [blocks._events(i, b, size) for i, (size, b) in enumerate(found) for _ in range(2)] == [e for e in first for _ in range(2)]
         assert len(unpacked) == 3 * len(found) and not blocks.near
+
+
+def test_stuck_sink_waits_as_long_as_the_other_goes_on(spark, monkeypatch):
+    """Time alone doesn't end the query: it did when the limit was for the whole log."""
+    real, calls = runtime.wait_until, []
+    monkeypatch.setattr(runtime, "wait_until", lambda done, timeout: bool(calls.append(timeout) or len(calls) > 1 and real(done, timeout)))
+    n = change_log(spark, SF).count()
+    assert {tuple(r) for r in runtime.stuck_sink(spark, SF).collect()} == {("free", n, n), ("stuck", 0, 0)}
