@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import drop, saved
+from .common import drop, saved, small_batches
 from .graph import components
 
 #: Documents of the bounded sample that names frequent shingles, and how many of those are named at most.
@@ -194,7 +194,8 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
     n_docs = d.count()
     drawn = d.where(F.pmod(F.col("h1"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(n_docs, 1)) * (1 << 30)).select("text")
     often = drawn.mapInPandas(sets, "k binary, node long, s binary").dropDuplicates(["k"]).select("s").mapInPandas(numbers, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
-    top = often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    with small_batches(docs.sparkSession):
+        top = often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     names, counts = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
     order = np.argsort(names)
     known = docs.sparkSession.sparkContext.broadcast((names[order], counts[order]))
@@ -213,7 +214,8 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
                 out = pd.DataFrame([about(t) for t in some["text"]], columns=["k", "n", "central", "prefix", "sketch", "short", "fp"])
                 yield pd.concat([some[["doc_id", "h1", "h2"]].reset_index(drop=True), out], axis=1)
 
-    rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>, fp long"), "near-docs")
+    with small_batches(docs.sparkSession):
+        rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>, fp long"), "near-docs")
     nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "central", "prefix", "sketch", "short", "fp")], F.count("*").alias("copies")), "near-nodes")
     slim = saved(rows.select("doc_id", "h1", "h2", "k"), "near-rows")
     drop(rows)
@@ -280,7 +282,8 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
         reps = saved(nodes.select(node.alias("node"), "rep.h1", "rep.h2").join(wanted, "node", "left_semi").select("h1", "h2").distinct(), "near-reps")
         few = reps.count() <= BROADCAST_ROWS
         texts = d.join(F.broadcast(reps) if few else reps, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("text")
-        full = saved(texts.mapInPandas(sets, "k binary, node long, s binary"), "near-sets")
+        with small_batches(docs.sparkSession):
+            full = saved(texts.mapInPandas(sets, "k binary, node long, s binary"), "near-sets")
         left = full.select(F.col("node").alias("u"), F.col("k").alias("ku"), F.col("s").alias("a"))
         right = full.select(F.col("node").alias("v"), F.col("k").alias("kv"), F.col("s").alias("b"))
         both = maybe.join(left, "u").join(right, "v").select(F.col("ku").alias("u"), F.col("kv").alias("v"), "a", "b")
