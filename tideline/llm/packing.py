@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, with_rank
+from .common import lean, saved, with_rank
 
 #: Pieces of one length that a bucket of the ranking holds on average at most.
 BUCKET_ROWS = 200_000
@@ -113,9 +113,6 @@ class Tokens:
         return np.concatenate(out)
 
 
-_KEPT: dict[str, Tokens] = {}
-
-
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -127,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, end_
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = _KEPT.get(path) or _KEPT.setdefault(path, Tokens(path))
+        t = Tokens(path)
         for b in batches:
             rows: list[tuple] = []
             for d, text in zip(b["doc_id"], b["text"]):
@@ -138,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, end_
             yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def place(histogram: dict[int, int], size: int = 1024) -> tuple[list[tuple[int, int, int, int, int]], int]:

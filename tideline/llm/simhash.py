@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, saved
+from .common import drop, lean, saved
 from .graph import components, forest
 
 BITS = 64
@@ -176,7 +176,7 @@ def links(fps: DataFrame, radius: int = 3, bands: int | None = None) -> DataFram
         u, v = _unit_edges(b["unit"].to_numpy(), b["fp"].to_numpy(), b["side"].to_numpy(), radius_)
         return pd.DataFrame({"u": u, "v": v})
 
-    return dealt.select(unit.alias("unit"), "fp", side.alias("side")).repartition(F.col("unit")).sortWithinPartitions("unit").mapInPandas(run, "u long, v long")
+    return dealt.select(unit.alias("unit"), "fp", side.alias("side")).repartition(F.col("unit")).sortWithinPartitions("unit").mapInPandas(lean(run), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import drop, saved, small_batches
+from .common import drop, lean, saved, small_batches
 from .graph import components
 
 #: Documents of the bounded sample that names frequent shingles, and how many of those are named at most.
@@ -193,7 +193,7 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 
     n_docs = d.count()
     drawn = d.where(F.pmod(F.col("h1"), F.lit(1 << 30)) < min(1.0, SAMPLE / max(n_docs, 1)) * (1 << 30)).select("text")
-    often = drawn.mapInPandas(sets, "k binary, node long, s binary").dropDuplicates(["k"]).select("s").mapInPandas(numbers, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
+    often = drawn.mapInPandas(lean(sets), "k binary, node long, s binary").dropDuplicates(["k"]).select("s").mapInPandas(lean(numbers), "h long").groupBy("h").agg(F.count("*").alias("n")).where("n >= 3")
     with small_batches(docs.sparkSession):
         top = often.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     names, counts = np.array([r["h"] for r in top], np.int64).view(np.uint64), np.array([r["n"] for r in top], np.int64)
@@ -215,7 +215,7 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
                 yield pd.concat([some[["doc_id", "h1", "h2"]].reset_index(drop=True), out], axis=1)
 
     with small_batches(docs.sparkSession):
-        rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(prints, "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>, fp long"), "near-docs")
+        rows = saved(d.select("doc_id", "h1", "h2", "text").mapInPandas(lean(prints), "doc_id long, h1 long, h2 long, k binary, n long, central long, prefix array<long>, sketch binary, short array<long>, fp long"), "near-docs")
     nodes = saved(rows.groupBy("k").agg(F.min(F.struct("h1", "h2")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "central", "prefix", "sketch", "short", "fp")], F.count("*").alias("copies")), "near-nodes")
     slim = saved(rows.select("doc_id", "h1", "h2", "k"), "near-rows")
     drop(rows)
@@ -264,18 +264,18 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
 
     # Most prefix shingles are one text's alone: what is known of a text travels only with those that are not.
     spread = nodes.select(node.alias("node"), F.posexplode("prefix").alias("pos", "h")).select("h", "node", "pos")
-    shared = saved(spread.repartition(F.col("h")).sortWithinPartitions("h").mapInPandas(in_company, "h long, node long, pos int"), "near-shared")
+    shared = saved(spread.repartition(F.col("h")).sortWithinPartitions("h").mapInPandas(lean(in_company), "h long, node long, pos int"), "near-shared")
 
     def met(placed: DataFrame, by: list, how) -> DataFrame:
         about = placed.select(node.alias("node"), "n", "comp", "central", "copies", *[F.col("short")[i].alias(c) for i, c in enumerate(shorts)])
-        return shared.join(about, "node").repartition(F.col("h")).sortWithinPartitions("h", *by, "node").mapInPandas(how, "u long, v long")
+        return shared.join(about, "node").repartition(F.col("h")).sortWithinPartitions("h", *by, "node").mapInPandas(lean(how), "u long, v long")
 
     def linked(met: DataFrame) -> DataFrame:
         """Pairs of nodes that are similar."""
         met = saved(met.distinct(), "near-met")
         one = nodes.select(node.alias("u"), F.col("n").alias("m"), F.col("sketch").alias("a"))
         two = nodes.select(node.alias("v"), "n", F.col("sketch").alias("b"))
-        maybe = saved(met.join(one, "u").join(two, "v").mapInPandas(rough, "u long, v long").distinct(), "near-pairs")
+        maybe = saved(met.join(one, "u").join(two, "v").mapInPandas(lean(rough), "u long, v long").distinct(), "near-pairs")
 
         # Texts of the pairs that are left, one a node.
         wanted = maybe.select(F.col("u").alias("node")).union(maybe.select("v")).distinct()
@@ -283,11 +283,11 @@ def near_copies(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_co
         few = reps.count() <= BROADCAST_ROWS
         texts = d.join(F.broadcast(reps) if few else reps, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"]).select("text")
         with small_batches(docs.sparkSession):
-            full = saved(texts.mapInPandas(sets, "k binary, node long, s binary"), "near-sets")
+            full = saved(texts.mapInPandas(lean(sets), "k binary, node long, s binary"), "near-sets")
         left = full.select(F.col("node").alias("u"), F.col("k").alias("ku"), F.col("s").alias("a"))
         right = full.select(F.col("node").alias("v"), F.col("k").alias("kv"), F.col("s").alias("b"))
         both = maybe.join(left, "u").join(right, "v").select(F.col("ku").alias("u"), F.col("kv").alias("v"), "a", "b")
-        edges = saved(both.mapInPandas(compare, "u binary, v binary"), "near-links")
+        edges = saved(both.mapInPandas(lean(compare), "u binary, v binary"), "near-links")
         drop(met, maybe, reps, full)
         return edges
 
