@@ -7,11 +7,11 @@ import pickle
 import threading
 import time
 from collections import deque
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
-from itertools import chain
+from itertools import chain, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,20 +64,59 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist(maps_as_pydicts="strict")
 
 
+class Columns(dict):
+    """A block's events by column. Values are made where they are first asked for; its pickle is an Arrow stream."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        super().__init__()
+        self.batch, self.names = batch, batch.schema.names
+
+    def __missing__(self, name: str) -> list:
+        values = _values(self.batch.column(name))
+        if name == "commit_ts":
+            values = [None if v is None else EPOCH + timedelta(microseconds=v) for v in values]
+        self[name] = values
+        return values
+
+    def __reduce__(self):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, self.batch.schema) as stream:
+            stream.write_batch(self.batch)
+        return _columns, (out.getvalue().to_pybytes(),)
+
+    def events(self) -> list[Event]:
+        return list(map(Event, repeat(self), range(self.batch.num_rows)))
+
+
+def _columns(stream: bytes) -> Columns:
+    return Columns(pa.ipc.open_stream(stream).read_next_batch())
+
+
+class Event(Mapping):
+    """One event of a block. It reads as the dict of its values and costs no more than those that are looked at."""
+
+    __slots__ = ("_columns", "_at")
+
+    def __init__(self, columns: Columns, at: int):
+        self._columns, self._at = columns, at
+
+    def __getitem__(self, name: str):
+        return self._columns[name][self._at]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._columns.names)
+
+    def __len__(self) -> int:
+        return len(self._columns.names)
+
+    def __repr__(self) -> str:
+        return repr(dict(self))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs on the executors: events as dicts, pickled by blocks, so the driver has little to do for each. A text that comes again in a block is sent once."""
+    """Runs on the executors: events by blocks, as they come in Arrow, so neither side makes an object of a value that no sink looks at."""
     for batch in batches:
-        columns = {}
-        for name, column in zip(batch.schema.names, batch.columns):
-            values = _values(column)
-            if name == "commit_ts":
-                values = [None if v is None else EPOCH + timedelta(microseconds=v) for v in values]
-            elif name != PAYLOAD and pa.types.is_string(column.type):
-                known: dict = {}
-                values = [known.setdefault(v, v) for v in values]
-            columns[name] = values
-        events = [dict(zip(columns, row)) for row in zip(*columns.values())]
-        texts = [pickle.dumps(events[i : i + BLOCK], pickle.HIGHEST_PROTOCOL) for i in range(0, len(events), BLOCK)]
+        texts = [pickle.dumps(Columns(batch.slice(i, BLOCK)), pickle.HIGHEST_PROTOCOL) for i in range(0, batch.num_rows, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(map(len, texts), pa.int64()), pa.array([pa.compress(t, CODEC, asbytes=True) for t in texts], pa.binary())], ["size", "block"])
 
 
@@ -102,8 +141,8 @@ class Blocks:
     def _drop(self, number: int) -> None:
         self.bytes -= self.near.pop(number)[2]
 
-    def _events(self, number: int, block: bytes, size: int) -> list[dict]:
-        unpack = lambda: pickle.loads(pa.decompress(block, size, CODEC, asbytes=True))
+    def _events(self, number: int, block: bytes, size: int) -> list[Event]:
+        unpack = lambda: pickle.loads(pa.decompress(block, size, CODEC, asbytes=True)).events()
         if self.readers < 2:
             return unpack()
         with self.lock:
@@ -122,13 +161,13 @@ class Blocks:
                 return events
         return unpack()
 
-    def __iter__(self) -> Iterator[list[dict]]:
+    def __iter__(self) -> Iterator[list[Event]]:
         """The events of each block, partition by partition."""
         for number, r in enumerate(self.df.toLocalIterator(prefetchPartitions=True)):
             yield self._events(number, bytes(r.block), r.size)
 
 
-def rows(df: DataFrame) -> Iterator[dict]:
+def rows(df: DataFrame) -> Iterator[Event]:
     """Events of an encoded frame in the order of seq, partition by partition."""
     return chain.from_iterable(Blocks(packed(df.orderBy("seq"))))
 
