@@ -74,6 +74,13 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_heaps(spark: SparkSession) -> None:
+    """Executors collect their garbage and return the heap that is unused: a heavy stage lets it grow to its limit, and there it stays,
+    beside the Python workers of the next one. One task a core, so that each executor gets some; a busy cluster may leave out a few."""
+    n = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """run, for mapInPandas, giving memory back after each task: idle workers stay as long as the executor is busy, with what their last task left."""
 
