@@ -58,8 +58,11 @@ class Counting:
         if self.refuse and self.calls % self.refuse == 0:
             raise RuntimeError("busy")
         for e in events:
-            self.late += e["seq"] < self.last
-            self.last = max(self.last, e["seq"])
+            seq = e["seq"]
+            if seq < self.last:
+                self.late += 1
+            else:
+                self.last = seq
         self.got += len(events)
 
     def close(self) -> None:
